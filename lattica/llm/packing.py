@@ -26,15 +26,15 @@ from .shared import as_bytes, once_a_worker, slices
 
 WINDOW, CLOSE, OPEN = 4096, 2, 1024
 #: Words kept for a worker: as written, and without case and final marks.
-SEEN, KNOWN, LONGEST = 400_000, 800_000, 48
+SEEN, KNOWN, LONGEST = 800_000, 600_000, 48
 FINAL_MARKS = re.compile(rb"([a-z])([.,!]+)\Z")
 
 
-class Words(dict):
+class Words:
     """Little-endian 32-bit ids of the words of texts, as one tokenizer gives them for whole texts.
 
     The tokenizer drops white space and never joins what white space parts, so words can be coded
-    apart; the most recent ones are kept. Lower-casing A-Z changes only the strings of special ids,
+    apart; the first ones met are kept. Lower-casing A-Z changes only the strings of special ids,
     so texts with "<|" are coded as they stand. A mark after a letter is a token run of its own.
     """
 
@@ -43,41 +43,38 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        # Plain dicts: set.difference() looks keys up in those, and walks through any other mapping.
+        self.seen: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Codes plain words (letters only, one run of tokens each) a few hundred at a time."""
-        plain = [w for w in words if w.decode().isalpha()]
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        mark = FINAL_MARKS.search(word)
+        return (word[: mark.start(2)], mark[2]) if mark else (word,)
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Codes plain words (letters only, one run of tokens each) a few hundred at a time, the others one by one."""
+        out = {}
+        plain = [w for w in words if len(w) <= LONGEST and w.decode().isalpha()]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group):
-                self.known.update((w, self.whole(w.decode())) for w in group)
                 continue
             whole, at = ids.tobytes(), 0
             for w, end in zip(group, (cuts * 4).tolist(), strict=True):
-                self.known[w] = whole[at:end]
+                out[w] = whole[at:end]
                 at = end
-        for w in words.difference(plain):
-            self.known[w] = self.whole(w.decode())
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        mark = FINAL_MARKS.search(word)
-        return (word[: mark.start(2)], mark[2]) if mark else (word,)
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = b"".join([self.known[p] if p in self.known else self.whole(p.decode()) for p in self.parts(word)])
-        if len(self) < SEEN and len(word) <= LONGEST:
-            self[word] = out
+        for w in words:
+            if w not in out:
+                out[w] = self.whole(w.decode())
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -85,15 +82,19 @@ class Words(dict):
         new = set()
         for words in split:
             new.update(words or ())
-        new.difference_update(self)
-        if len(self.known) > KNOWN:
-            self.known.clear()
-            self.clear()
-        base = {p for w in new if len(w) <= LONGEST for p in self.parts(w)}
-        base.difference_update(self.known)
-        if base:
-            self.learn(base)
-        return [self.whole(t.decode()) if s is None else b"".join(map(self.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        new = new.difference(self.seen)
+        parts = {w: self.parts(w) for w in new}
+        base = {p for own in parts.values() for p in own}.difference(self.known)
+        learnt = self.learn(base)
+        room = max(0, KNOWN - len(self.known))
+        self.known.update((w, x) for w, x in list(learnt.items())[:room] if len(w) <= LONGEST)
+        self.seen.update((w, b"".join([self.known.get(p) or learnt[p] if p else b"" for p in own])) for w, own in parts.items())
+        get = self.seen.__getitem__
+        out = [self.whole(t.decode()) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        for w in new:  # what is over goes again
+            if len(w) > LONGEST or len(self.seen) > SEEN:
+                del self.seen[w]
+        return out
 
 
 class Packer:
