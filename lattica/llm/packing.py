@@ -1,8 +1,8 @@
 """Op 9: documents into token windows by sum-of-squares online packing.
 
 A partition's task keeps a level array: how many windows are filled to each level. A piece of s
-tokens goes to the level h that makes the sum of squared counts least, i.e. with the least
-count[h+s] - count[h] (an empty window and a full one count 0); at equal sums the fullest level.
+tokens goes to the level h (0: a new window) that makes the sum of squared counts of partly filled
+windows least; at equal sums to the fullest level.
 Documents above a window are cut into whole windows and one rest. Full windows leave at once; above
 `OPEN` open windows the emptiest is cut up to fill the fullest, as are all at the end. What is left
 of one window then becomes windows whose sizes are powers of two, which need no padding.
@@ -130,15 +130,14 @@ class Packer:
     def best_level(self, size: int) -> int:
         """The level whose use makes the sum of squares least; 0 is a new window."""
         here = self.count[1 : self.window - size + 1]
-        after = self.count[1 + size :].copy()
-        if len(after):
-            after[-1] = 0
-        change = np.where(here > 0, after - here, np.iinfo(np.int64).max)
-        if not len(change):
+        if not len(here):
             return 0
+        # Leaving level h saves 2 count[h] - 1, reaching h+s adds 2 count[h+s] + 1; a full window counts no more.
+        change = 2 * (self.count[1 + size :] - here) + 2
+        change[-1] = 1 - 2 * here[-1]
+        change = np.where(here > 0, change, np.iinfo(np.int64).max)
         at = len(change) - 1 - int(np.argmin(change[::-1]))
-        new = self.count[size] if size < self.window else 0
-        return at + 1 if change[at] <= new else 0
+        return at + 1 if change[at] <= 2 * self.count[size] + 1 else 0
 
     def add(self, document, ids: np.ndarray) -> None:
         whole = len(ids) // self.window * self.window
