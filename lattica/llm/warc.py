@@ -6,7 +6,7 @@ revisit is staged, so that Spark sees its size and picks the join. Records are g
 archives of about `ARCHIVE` bytes.
 
 Reading: a file is walked member by member (or version line by version line, where not compressed).
-A record counts if its gzip CRC, header, length, closing and SHA-1 hold. Otherwise the reader searches
+A record counts if its gzip CRC, header, length, closing and digests hold. Otherwise the reader searches
 the next member magic or version line that starts a valid record, goes on there, and logs the bytes
 between as a quarantined gap.
 
@@ -64,7 +64,7 @@ def record(page_id, url: bytes, payload: bytes, digest: str, refers_to=None) ->
     kind, block = (b"response", http + payload) if refers_to is None else (b"revisit", http)
     lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + record_id(page_id), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + re.sub(rb"\s", b"%20", url), b"WARC-Payload-Digest: sha1:" + digest.encode(), b"Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        lines += [b"WARC-Refers-To: " + record_id(refers_to), b"WARC-Profile: " + PROFILE]
+        lines += [b"WARC-Refers-To: " + record_id(refers_to), b"WARC-Profile: " + PROFILE, b"WARC-Block-Digest: sha1:" + b32encode(sha1(block).digest())]
     return b"\r\n".join([*lines, b"Content-Length: %d" % len(block)]) + END + block + END
 
 
@@ -127,15 +127,19 @@ def parse(data: bytes, at: int, alone: bool) -> tuple[dict, int] | str:
         return "length and closing disagree"
     if alone and end + 4 != len(data):
         return "bytes after the record"
-    if not alone and end + 4 < len(data) and not START.match(data, end + 4):
-        return "no record after this one"
     block = data[start:end]
+    own = head.get("warc-block-digest", b"").decode("latin-1").removeprefix("sha1:")
+    if own and b32encode(sha1(block).digest()).decode() != own:
+        return "block digest differs"
     http, _, payload = block.partition(END)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
     kind = head.get("warc-type", b"").decode("latin-1")
     told = head.get("warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:")
     if kind == "response" and told and b32encode(sha1(payload).digest()).decode() != told:
         return "payload digest differs"
+    # Where no digest vouches for the length, another record or the end must follow.
+    if not (alone or own or told and kind == "response" or end + 4 == len(data) or START.match(data, end + 4)):
+        return "no record after this one"
     size = int(fields[b"content-length"]) if kind == "revisit" and fields.get(b"content-length", b"").isdigit() else len(payload)
     return {"type": kind, "id": head.get("warc-record-id", b"").decode("latin-1"), "url": head.get("warc-target-uri", b"").decode("utf-8", "replace"), "digest": told or b32encode(sha1(payload).digest()).decode(), "refers_to": head["warc-refers-to"].decode("latin-1") if "warc-refers-to" in head else None, "payload": payload, "payload_bytes": size}, end + 4
 
