@@ -7,8 +7,8 @@ template of m bigrams if n lies between m*t/(2-t) and m*(2-t)/t, and shares at l
 bigrams with it; segments and templates outside are pruned before any coefficient is computed. The
 coefficient counts repeated bigrams as often as both sides have them.
 
-Defined cases: null and empty texts have no match; of matches of one place the better stays, at equal
-scores the template first in the list; repeated rows get equal results; other columns pass through; an
+Defined cases: null and empty texts have no match; of overlapping matches the one that shares most
+bigrams stays, then the better score, then the template first in the list; repeated rows get equal results; other columns pass through; an
 empty table gives an empty result; texts are read whole. A template needs two words at least.
 """
 
@@ -93,9 +93,10 @@ class Templates:
                     found += self.best(i, words, hits[start:k])
                     start = k
         kept = []
-        for s, i, a, b in sorted(((-s, i, a, b) for i, a, b, s in found)):
+        shared = lambda m: m[3] * (m[2] - m[1] - 1 + self.counts[m[0]].total())
+        for i, a, b, s in sorted(found, key=lambda m: (-shared(m), -m[3], m[0], m[1])):
             if all(b <= x[1] or a >= x[2] for x in kept):
-                kept.append((i, a, b, -s))
+                kept.append((i, a, b, s))
         return sorted(kept, key=lambda x: x[1])
 
     def best(self, i: int, words: list[str], hits: list[int]) -> list[tuple[int, int, int, float]]:
