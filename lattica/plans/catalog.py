@@ -245,7 +245,7 @@ def _cov(spark, d):
 # --- principal components ----------------------------------------------------------------------------------
 
 
-def eigen_sql(k: int, div: str, squarings: int = 8) -> str:
+def eigen_sql(k: int, div: str, squarings: int = 10) -> str:
     """CTEs e1..ek (vectors: j, c) and l1..lk (values: lam) of Z'Z/div by repeated squaring and deflation; needs z."""
     out = [f"g1 as materialized (select a.var_idx i, b.var_idx j, sum(a.z*b.z) / {div} v from z a join z b using (sample_idx) group by 1, 2)"]
     for d in range(1, k + 1):
@@ -496,3 +496,42 @@ def _scores(spark, d):
     w = np.array([[j % 7 - 3.0, j % 5 - 2.0] for j in range(fx.P)])
     a = linalg.rows_times(z_of(spark, d), w).join(fx.pheno(spark, d, 2).withColumnRenamed("sample_idx", "idx"), "idx")
     return a.agg(*[r(F.corr(F.col("values")[i], F.col("y")[j]), 9).alias(f"{n}{j + 1}") for i, n in enumerate("st") for j in range(2)])
+
+
+def split(spark, d):
+    """Both matrices of the training samples and of the others."""
+    from .matrix import from_arrays, from_long
+
+    g, y = fx.geno(spark, d), fx.pheno(spark, d, 4)
+    out = []
+    for keep in (is_train(), ~is_train()):
+        rows = y.filter(keep)
+        n = rows.count()
+        out += [from_long(g.filter(keep), n=n, p=fx.P), from_arrays(rows, "sample_idx", "y", width=4, count=n)]
+    return out
+
+
+@query("scca_tuned")
+def _tuned(spark, d):
+    x, y, x_test, y_test = split(spark, d)
+    got = scca_op.tune(x, y, x_test, y_test, [0.0, 0.05], [0.0, 0.05], 2)
+    return got.select("dim", "lambda1", "lambda2", r("corr").alias("corr"), "nzero_x", "nzero_y", "converged")
+
+
+@query("drop_empty_samples", f"with {fx.GENO}, known as (select sample_idx from geno where var_idx < 2 group by 1 having count(value) > 0) select sample_idx, var_idx, value from geno where var_idx < 2 and sample_idx in (select sample_idx from known)")
+def _drop_empty(spark, d):
+    return qc.drop_empty_samples(fx.geno(spark, d).filter("var_idx < 2"))
+
+
+@query("pca_pcs_named", f"{EIGEN}, p as (select sample_idx, " + ", ".join(f"sum(z*e{i}.c) / sqrt(40) p{i}" for i in range(1, K + 1)) + " from z " + " ".join(f"join e{i} on z.var_idx = e{i}.j" for i in range(1, K + 1)) + " group by 1) select sample_idx, c_name as name, " + ", ".join(f'round(p{i}, 6) + 0.0 as "PC{i}"' for i in range(1, K + 1)) + " from p join customer on c_custkey = sample_idx")
+def _named(spark, d):
+    ids = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("sample_idx"), F.col("c_name").alias("name"))
+    got = pca_op.with_ids(fit(spark, d).projection, ids, "sample_idx", "PC")
+    return got.select("sample_idx", "name", *[r(f"PC{i}").alias(f"PC{i}") for i in range(1, K + 1)])
+
+
+@query("project_maf_scale", f"with {fx.GENO}, {fx.VARIANTS}, {LOADED}, q as (select var_idx, least(avg(value)/2, 1-avg(value)/2) maf from geno group by 1), z as (select sample_idx, var_id, coalesce((value - 2*maf) / sqrt(2*maf*(1-maf)), 0) z from geno join q using (var_idx) join variants using (var_idx)) select sample_idx, round(sum(z*a) / sqrt(40), 6) + 0.0 as pc from z join w using (var_id) group by 1")
+def _maf_scale(spark, d):
+    maf = qc.variable_rates(fx.geno(spark, d)).join(fx.variants(spark), "var_idx").select("var_id", "ref_allele", "maf")
+    got = project_op.project(fx.geno_matrix(spark, d), fixed_loadings(spark), project_op.meansd_of_maf(maf))
+    return got.select("sample_idx", r(F.col("values")[0]).alias("pc"))
