@@ -15,17 +15,17 @@ def divisor(name: str, n: int, p: int) -> float:
 
 def check_shape(n: int, p: int) -> None:
     if p < 2:
-        raise ValueError("X must have at least two columns")
+        raise ValueError("a matrix needs two variables or more")
     if n < 2:
-        raise ValueError("X must have at least two rows")
+        raise ValueError("a matrix needs two samples or more")
 
 
 def check_ndim(k: int, n: int, p: int) -> None:
     if k < 1:
-        raise ValueError("ndim can't be less than 1")
+        raise ValueError("at least one dimension must be asked for")
     most = (min(n, p) - 1) / 2
     if k > most:
-        raise ValueError(f"{k} dimensions asked for, but only {int(most)} allowed")
+        raise ValueError(f"{k} dimensions are more than the {int(most)} that fit")
 
 
 def check_scca(k: int, n: int, p: int, q: int, lambda1, lambda2, maxiter: int, tol: float) -> None:
