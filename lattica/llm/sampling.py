@@ -13,9 +13,9 @@ distinct segmentations without replacement; the next value on the queue is the t
 which the inclusion score of each is 1 - exp(-exp(log p - kappa)).
 
 Spaces become the piece set's mark and no piece has a mark after another character, so a text's lattice
-is a chain of lattices of words; those are built once and their walks are drawn together.
+is a chain of lattices of words; those are built once for a batch of texts, and all walks are drawn together.
 
-Every row's generator is seeded by a hash of its key and `seed`.
+Every random number is a hash of the row's key, `seed`, and its place in the search.
 
 Defined cases: a null or empty text has one segmentation, without pieces; a text with fewer
 segmentations than k gives them all, with inclusion 1; equal keys draw equally; a null key is a key of
@@ -25,6 +25,7 @@ its own; other columns pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +37,28 @@ from .shared import as_bytes, once_a_worker, slices
 
 MARK = "▁"
 K, THETA = 3, 0.002
-#: Words kept for a worker, by their edges, and the longest kept.
-KEPT_EDGES, LONGEST = 3_000_000, 64
+#: Texts that share lattices of words and are walked together.
+BATCH = 64
+
+
+def uniforms(seed: np.ndarray, draw: int, at: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from a seed, the number of a draw and a place: the same wherever and in whatever batch they are made."""
+    with np.errstate(over="ignore"):
+        x = seed + np.uint64(draw % 2**64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def draw_of(sample: int, tag: int, step: int = 0) -> int:
+    return sample << 56 | tag << 48 | step
 
 
 class Pieces:
-    """Vocabulary of a sentencepiece model, and lattices of words as flat arrays of nodes and edges."""
+    """Vocabulary of a sentencepiece model as a trie in flat arrays."""
 
     def __init__(self, path: str | None = None, theta: float = THETA, scores: dict[str, float] | None = None):
-        self.theta = theta
         self.model = None
         if path:
             import sentencepiece
@@ -56,115 +70,130 @@ class Pieces:
             # Pieces of marks alone carry no rank in such models: they count as the rarest, like single characters.
             low = min((model.get_score(i) for i in usual if model.get_score(i) > -1e8), default=0.0)
             self.ids = {model.id_to_piece(i): (i, theta * max(model.get_score(i), low)) for i in usual}
-            self.unknown = theta * low
         else:
+            low = min(scores.values(), default=0.0)
             self.bytes = {b: len(scores) + b for b in range(256)}
             self.ids = {p: (i, theta * s) for i, (p, s) in enumerate(scores.items())}
-            self.unknown = theta * min(scores.values(), default=0.0)
-        self.longest = max(map(len, self.ids), default=1)
-        self.crossing = any(MARK in p[1:] and p.strip(MARK) and MARK in p.lstrip(MARK) for p in self.ids)
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.node_edges, self.node_count = [], []
-        self.piece, self.next, self.logp, self.upto = [], [], [], []
-        self.arrays = None
+        self.unknown = theta * low
+        self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
+        nodes: dict[tuple[int, str], int] = {}
+        piece, weight = [-1], [0.0]
+        for p, (i, w) in self.ids.items():
+            at = 0
+            for c in p:
+                at = nodes.setdefault((at, c), len(piece))
+                if at == len(piece):
+                    piece.append(-1)
+                    weight.append(0.0)
+            piece[at], weight[at] = i, w
+        keys = np.array([n << 21 | ord(c) for n, c in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.piece, self.weight = np.array(piece, np.int64), np.array(weight)
+        self.first = np.full(0x110000, -1, np.int32)
+        for (n, c), to in nodes.items():
+            if n == 0:
+                self.first[ord(c)] = to
 
     def normal(self, text: str) -> str:
         return self.model.normalize(text) if self.model else text.replace(" ", MARK)
 
     def split(self, text: str) -> list[str]:
         """Stretches that no piece crosses: each starts with its marks."""
-        if self.crossing:
-            return [text] if text else []
-        out, start = [], 0
-        at = text.find(MARK, 1)
-        while at > 0:
-            if text[at - 1] != MARK:
-                out.append(text[start:at])
-                start = at
-            at = text.find(MARK, at + 1)
-        if start < len(text):
-            out.append(text[start:])
-        return out
-
-    def add(self, word: str) -> int:
-        """The first node of a word's lattice; its last edges lead to -1."""
-        n = len(word)
-        edges: list[list] = [[] for _ in range(n)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                got = self.ids.get(word[i:j])
-                if got:
-                    edges[i].append((j, got[0], got[1]))
-            if not any(j == i + 1 for j, _, _ in edges[i]) and word[i] not in self.ids:
-                edges[i].append((i + 1, -1 - ord(word[i]), self.unknown))
-        back = np.full(n + 1, -np.inf)
-        back[n] = 0.0
-        for i in range(n - 1, -1, -1):
-            back[i] = np.logaddexp.reduce([w + back[j] for j, _, w in edges[i]])
-        base = len(self.node_edges)
-        for i in range(n):
-            self.node_edges.append(len(self.piece))
-            self.node_count.append(len(edges[i]))
-            total = 0.0
-            for j, piece, w in edges[i]:
-                p = w + back[j] - back[i]
-                total += np.exp(p)
-                self.piece.append(piece)
-                self.next.append(base + j if j < n else -1)
-                self.logp.append(p)
-                self.upto.append(total)
-            self.upto[-1] = np.inf
-        self.arrays = None
-        return base
-
-    def roots(self, words: list[str]) -> np.ndarray:
-        own: dict[str, int] = {}
-        out = []
-        for w in words:
-            at = self.words.get(w, own.get(w))
-            if at is None:
-                at = self.add(w)
-                (self.words if len(w) <= LONGEST else own)[w] = at
-            out.append(at)
-        return np.array(out, np.int64)
-
-    def tables(self):
-        if self.arrays is None:
-            self.arrays = tuple(np.array(x, t) for x, t in ((self.node_edges, np.int64), (self.node_count, np.int64), (self.piece, np.int64), (self.next, np.int64), (self.logp, float), (self.upto, float)))
-        return self.arrays
-
-    def walk(self, roots: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a path drawn through each word, in order, and the word of each."""
-        first, count, _, follow, _, upto = self.tables()
-        steps, owners, at, word = [], [], roots, np.arange(len(roots))
+        return [text] if self.crossing and text else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The trie's next nodes, -1 where there is none."""
+        key = node << 21 | code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.child[at], -1)
+
+
+class Lattice:
+    """Lattices of words side by side: a node for each character, its edges in a row; edges that end a word lead to -1."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.pieces = pieces
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(length)
+        self.root = dict(zip(words, (ends - length).tolist(), strict=True))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        n = len(code)
+        left = np.repeat(ends, length) - np.arange(n)  # characters to the end of the word
+        at, node = np.arange(n), pieces.first[code].astype(np.int64)
+        src, size, piece, weight = [], [], [], []
+        depth = 1
+        lone = (node < 0) | (pieces.piece[node] < 0)  # no piece of this character alone: bytes
+        alone = lone.nonzero()[0]
+        src.append(alone)
+        size.append(np.ones(len(alone), np.int64))
+        piece.append(-1 - code[alone])
+        weight.append(np.full(len(alone), pieces.unknown))
+        alive = node >= 0
+        at, node = at[alive], node[alive]
+        while len(at):
+            hit = pieces.piece[node] >= 0
+            src.append(at[hit])
+            size.append(np.full(int(hit.sum()), depth))
+            piece.append(pieces.piece[node[hit]])
+            weight.append(pieces.weight[node[hit]])
+            on = left[at] > depth
+            at, node = at[on], node[on]
+            node = pieces.step(node, code[at + depth])
+            at, node = at[node >= 0], node[node >= 0]
+            depth += 1
+        src, size, piece, weight = map(np.concatenate, (src, size, piece, weight))
+        # Backward sums, all words together: nodes in the order of their distance from the end.
+        order = np.lexsort((size, src, left[src]))
+        src, size, piece, weight = src[order], size[order], piece[order], weight[order]
+        follow = np.where(size == left[src], n, src + size)
+        back = np.zeros(n + 1)
+        value = weight.copy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(left[src])) + 1, [len(src)]]) if n else np.zeros(1, int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            value[a:b] += back[follow[a:b]]
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(src[a:b])) + 1])
+            back[src[a:b][heads]] = np.logaddexp.reduceat(value[a:b], heads)
+        logp = value - back[src]
+        order = np.argsort(src, kind="stable")
+        self.piece, self.follow, self.logp = piece[order], np.where(follow == n, -1, follow)[order], np.minimum(logp[order], 0.0)
+        self.count = np.bincount(src, minlength=n)
+        self.first = np.cumsum(self.count) - self.count
+        upto = np.cumsum(np.exp(self.logp))
+        self.upto = upto - np.repeat(upto[self.first] - np.exp(self.logp[self.first]), self.count) if n else upto
+        if n:
+            self.upto[self.first + self.count - 1] = np.inf
+
+    def walk(self, roots: np.ndarray, seeds: np.ndarray, sample: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a path drawn through each word, and which word each belongs to, in order."""
+        steps, owners = [], []
+        at, mine, step = roots, np.arange(len(roots)), 0
         while len(at):
-            u = rng.random(len(at))
-            edge = first[at]
+            u = uniforms(seeds[mine], draw_of(sample, 1, step), word[mine])
+            edge = self.first[at]
             # Edges of a node are few; each pass moves those whose share isn't reached yet.
-            more = (u >= upto[edge]).nonzero()[0]
+            more = (u >= self.upto[edge]).nonzero()[0]
             while len(more):
                 edge[more] += 1
-                more = more[u[more] >= upto[edge[more]]]
+                more = more[u[more] >= self.upto[edge[more]]]
             steps.append(edge)
-            owners.append(word)
-            on = follow[edge] >= 0
-            at, word = follow[edge][on], word[on]
+            owners.append(mine)
+            at = self.follow[edge]
+            on = at >= 0
+            at, mine, step = at[on], mine[on], step + 1
         if not steps:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edges, owner = np.concatenate(steps), np.concatenate(owners)
+        owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        return edges[order], owner[order]
+        return np.concatenate(steps)[order], owner[order]
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        got = self.tables()[2][edges]
+        got = self.piece[edges]
         if (got >= 0).all():
             return got.astype(np.uint32)
         out = []
         for x in got.tolist():
-            out += [x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()]
+            out += [x] if x >= 0 else [self.pieces.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")]
         return np.array(out, np.uint32)
 
 
@@ -174,59 +203,86 @@ def lower_maximum(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return mass - np.log(np.exp(np.minimum(mass - top, 700.0)) - np.log(u))
 
 
-def sample(pieces: Pieces, text: str, k: int, rng) -> list[tuple[np.ndarray, float, float, float]]:
-    """Up to k distinct segmentations: (edges, log p, perturbed log p, inclusion), by falling value."""
-    words = pieces.split(pieces.normal(text)) if text else []
-    roots = pieces.roots(words)
-    first, count, _, follow, logp, _ = pieces.tables()
-    top = float(-np.log(-np.log(rng.random())))
-    queue, turn, found, paths = [], 0, [], []
-
-    def expand(before: np.ndarray, before_word: np.ndarray, edges: np.ndarray, owner: np.ndarray, value: float) -> None:
-        """Takes the path before + edges, and queues one node for each place of `edges`."""
-        nonlocal turn
-        path, word = np.concatenate([before, edges]), np.concatenate([before_word, owner])
-        steps = logp[path]
-        reached = np.cumsum(steps)
-        found.append((path, float(reached[-1]) if len(path) else 0.0, value))
-        paths.append((path, word))
-        own = slice(len(before), len(path))
-        start = reached[own] - steps[own]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = start + np.log(-np.expm1(np.minimum(steps[own], 0.0)))
-        # A node with one edge leaves nothing, whatever rounding says.
-        here = np.concatenate([[0], path[:-1]])[own] if len(path) else path
-        at = np.where(np.concatenate([[True], word[1:] != word[:-1]])[own], roots[word[own]], follow[here]) if len(path) else path
-        many = (count[at] > 1) & np.isfinite(left) if len(at) else np.zeros(0, bool)
-        for i, v, node in zip(many.nonzero()[0].tolist(), lower_maximum(left[many], value, rng.random(int(many.sum()))).tolist(), at[many].tolist(), strict=True):
-            queue.append((-v, turn, len(paths) - 1, len(before) + i, node, frozenset([int(path[len(before) + i])])))
-            turn += 1
-        heapq.heapify(queue)
-
-    edges, owner = pieces.walk(roots, rng)
-    none = np.zeros(0, np.int64)
-    expand(none, none, edges, owner, top)
-    while queue and len(found) < k:
-        value, _, which, at, node, taken = heapq.heappop(queue)
-        path, word = paths[which]
-        open_edges = [e for e in range(first[node], first[node] + count[node]) if e not in taken]
-        p = np.exp(logp[open_edges] - logp[open_edges].max())
-        edge = open_edges[min(len(p) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), rng.random(), side="right")))]
-        rest = [e for e in open_edges if e != edge]
+class Search:
+    """The search over one text's lattice. Of a path's nodes the k+1 of largest value are queued: no more can ever be taken."""
+
+    def __init__(self, lattice: Lattice, roots: np.ndarray, k: int, seed: int):
+        self.lattice, self.roots, self.k = lattice, roots, k
+        self.seed = np.array([seed], np.uint64)
+        self.queue, self.found, self.turn = [], [], 0
+        self.prefix = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.value = float(-np.log(-np.log(self.draw(0, 0)[0])))
+
+    def draw(self, sample: int, tag: int, n: int = 1) -> np.ndarray:
+        return uniforms(self.seed, draw_of(sample, tag), np.arange(n))
+
+    def branch(self) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the best node of the queue; where the rest of its path has to be drawn: nodes and their words."""
+        sample, lat = len(self.found), self.lattice
+        value, _, which, at, node, taken = heapq.heappop(self.queue)
+        path, word = self.found[which][0], self.found[which][3]
+        left = [e for e in range(lat.first[node], lat.first[node] + lat.count[node]) if e not in taken]
+        p = np.exp(lat.logp[left] - lat.logp[left].max())
+        edge = left[min(len(p) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), self.draw(sample, 2)[0], side="right")))]
+        rest = [e for e in left if e != edge]
         if rest:
-            mass = float(logp[path[:at]].sum() + np.logaddexp.reduce(logp[rest]))
-            v = float(lower_maximum(np.array([mass]), -value, np.array([rng.random()]))[0])
-            heapq.heappush(queue, (-v, turn, which, at, node, taken | {edge}))
-            turn += 1
-        own = int(word[at])
-        # The rest of this word, then the words after it, drawn freely.
-        on = follow[edge]
-        starts = np.concatenate([[on] if on >= 0 else [], roots[own + 1 :]]).astype(np.int64)
-        more, owners = pieces.walk(starts, rng)
-        owners = owners + (own if on >= 0 else own + 1)
-        expand(np.concatenate([path[:at], [edge]]).astype(np.int64), np.concatenate([word[:at], [own]]).astype(np.int64), more, owners, -value)
-    kappa = -queue[0][0] if queue else -np.inf
-    return [(e, lp, g, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for e, lp, g in found]
+            mass = lat.logp[path[:at]].sum() + np.logaddexp.reduce(lat.logp[rest])
+            self.push(float(lower_maximum(mass, -value, self.draw(sample, 3))[0]), which, at, node, taken | {edge})
+        own, on = int(word[at]), lat.follow[edge]
+        self.prefix = (np.append(path[:at], edge), np.append(word[:at], own))
+        self.value = -value
+        starts, words = self.roots[own + 1 :], np.arange(own + 1, len(self.roots))
+        return (np.concatenate([[on], starts]), np.concatenate([[own], words])) if on >= 0 else (starts, words)
+
+    def push(self, value: float, which: int, at: int, node: int, taken: frozenset) -> None:
+        heapq.heappush(self.queue, (-value, self.turn, which, at, node, taken))
+        self.turn += 1
+
+    def expand(self, edges: np.ndarray, words: np.ndarray) -> None:
+        """Takes the path of the prefix and these edges, and queues the nodes on the edges."""
+        lat, n = self.lattice, len(self.prefix[0])
+        path, word = np.concatenate([self.prefix[0], edges]), np.concatenate([self.prefix[1], words])
+        steps = lat.logp[path]
+        reached = np.cumsum(steps)
+        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word))
+        if len(edges) == 0:
+            return
+        own = slice(n, len(path))
+        new_word = np.concatenate([[True], word[1:] != word[:-1]])[own]
+        at = np.where(new_word, self.roots[word[own]], lat.follow[np.concatenate([[0], path[:-1]])[own]])
+        with np.errstate(divide="ignore"):
+            mass = reached[own] - steps[own] + np.log(-np.expm1(steps[own]))
+        some = ((lat.count[at] > 1) & np.isfinite(mass)).nonzero()[0]
+        values = lower_maximum(mass[some], self.value, self.draw(len(self.found), 4, len(edges))[some])
+        if len(values) > self.k + 1:
+            best = np.argpartition(-values, self.k)[: self.k + 1]
+            some, values = some[best], values[best]
+        for i, v in zip(some.tolist(), values.tolist(), strict=True):
+            self.push(v, len(self.found) - 1, n + i, int(at[i]), frozenset([int(path[n + i])]))
+
+    def result(self) -> list[tuple[np.ndarray, float, float, float]]:
+        kappa = -self.queue[0][0] if self.queue else -np.inf
+        return [(self.lattice.ids_of(e), lp, g, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for e, lp, g, _ in self.found]
+
+
+def sample_many(pieces: Pieces, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to k distinct segmentations: (ids, log p, perturbed log p, inclusion), by falling value."""
+    split = [pieces.split(pieces.normal(t)) if t else [] for t in texts]
+    lattice = Lattice(pieces, list(dict.fromkeys(w for words in split for w in words)))
+    root = lattice.root
+    searches = [Search(lattice, np.array([root[w] for w in words], np.int64), k, seed) for words, seed in zip(split, seeds, strict=True)]
+    for sample in range(k):
+        jobs = [(s, *((s.roots, np.arange(len(s.roots))) if not sample else s.branch())) for s in searches if not sample or s.queue]
+        if not jobs:
+            break
+        sizes = [len(starts) for _, starts, _ in jobs]
+        words = np.concatenate([w for _, _, w in jobs]).astype(np.int64)
+        of = np.repeat(np.concatenate([s.seed for s, _, _ in jobs]), sizes)
+        edges, owner = lattice.walk(np.concatenate([x for _, x, _ in jobs]).astype(np.int64), of, sample, words)
+        bounds = np.searchsorted(owner, np.cumsum([0, *sizes]))
+        for (s, _, _), a, b in zip(jobs, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s.expand(edges[a:b], words[owner[a:b]])
+    return [s.result() for s in searches]
 
 
 SAMPLES = "array<struct<ids:binary,log_p:double,value:double,inclusion:double>>"
@@ -239,16 +295,10 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
 
         pieces = once_a_worker(f"pieces {path} {theta}", lambda: Pieces(path, theta))
         kind = pa.list_(pa.struct([("ids", pa.binary()), ("log_p", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64())]))
-        for batch in slices(batches, 64):
-            if len(pieces.piece) > KEPT_EDGES:
-                pieces.clear()
+        for batch in slices(batches, BATCH):
             texts = [t.decode() for t in as_bytes(batch.column("__text"))]
-            for t in texts:  # so that the flat arrays are built once for all rows of the batch
-                pieces.roots([w for w in pieces.split(pieces.normal(t)) if len(w) <= LONGEST] if t else [])
-            got = []
-            for key, t in zip(as_bytes(batch.column("__key")), texts, strict=True):
-                rng = np.random.Generator(np.random.SFC64(xxhash.xxh64_intdigest(key, seed)))
-                got.append([{"ids": pieces.ids_of(e).astype("<u4").tobytes(), "log_p": lp, "value": g, "inclusion": q} for e, lp, g, q in sample(pieces, t, k, rng)])
+            seeds = [xxhash.xxh64_intdigest(key, seed) for key in as_bytes(batch.column("__key"))]
+            got = [[{"ids": i.astype("<u4").tobytes(), "log_p": lp, "value": g, "inclusion": q} for i, lp, g, q in own] for own in sample_many(pieces, texts, k, seeds)]
             yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(got, kind)], names=["__doc", "__samples"])
 
     return run

@@ -33,8 +33,8 @@ def test_samples_follow_the_distribution_without_replacement():
     first, second, trials = Counter(), Counter(), 6000
     estimate = 0.0
     for t in range(trials):
-        got = sampling.sample(pieces, "▁aba▁ab", 3, np.random.Generator(np.random.SFC64(t)))
-        ids = [tuple(pieces.ids_of(e).tolist()) for e, *_ in got]
+        (got,) = sampling.sample_many(pieces, ["▁aba▁ab"], 3, [t * 7919])
+        ids = [tuple(e.tolist()) for e, *_ in got]
         assert len(set(ids)) == 3 and [g for *_, g, _ in got] == sorted((g for *_, g, _ in got), reverse=True)
         for i, (_, lp, _, q) in zip(ids, got, strict=True):
             assert np.isclose(np.exp(lp), p[i]) and 0 < q <= 1
@@ -52,8 +52,9 @@ def test_samples_follow_the_distribution_without_replacement():
 def test_all_segmentations_come_out_once():
     pieces = sampling.Pieces(theta=1.0, scores=SCORES)
     every = segmentations(pieces, "▁abab")
-    got = sampling.sample(pieces, "▁abab", 1000, np.random.default_rng(0))
-    assert sorted(tuple(pieces.ids_of(e).tolist()) for e, *_ in got) == sorted(s for s, _ in every)
+    ((got, other)) = sampling.sample_many(pieces, ["▁abab", "▁a ab"], 1000, [1, 2])
+    assert other == other and sampling.sample_many(pieces, ["x", "▁abab"], 1000, [2, 1])[1][0][1] == got[0][1]
+    assert sorted(tuple(e.tolist()) for e, *_ in got) == sorted(s for s, _ in every)
     assert all(q == 1 for *_, q in got)
 
 
