@@ -37,8 +37,8 @@ from .shared import as_bytes, once_a_worker, slices
 
 MARK = "▁"
 K, THETA = 3, 0.002
-#: Texts that share lattices of words and are walked together.
-BATCH = 64
+#: Texts that share lattices of words and are walked together: so many, and so many characters unless one text has more.
+BATCH, CHARACTERS = 64, 250_000
 
 
 def uniforms(seed: np.ndarray, draw: int, at: np.ndarray) -> np.ndarray:
@@ -75,6 +75,7 @@ class Pieces:
             self.bytes = {b: len(scores) + b for b in range(256)}
             self.ids = {p: (i, theta * s) for i, (p, s) in enumerate(scores.items())}
         self.unknown = theta * low
+        self.ascii = np.array([self.bytes[b] for b in range(128)], np.int64)
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         nodes: dict[tuple[int, str], int] = {}
         piece, weight = [-1], [0.0]
@@ -144,7 +145,7 @@ class Lattice:
             depth += 1
         src, size, piece, weight = map(np.concatenate, (src, size, piece, weight))
         # Backward sums, all words together: nodes in the order of their distance from the end.
-        order = np.lexsort((size, src, left[src]))
+        order = np.argsort(left[src] << 40 | src << 8 | size)
         src, size, piece, weight = src[order], size[order], piece[order], weight[order]
         follow = np.where(size == left[src], n, src + size)
         back = np.zeros(n + 1)
@@ -155,7 +156,7 @@ class Lattice:
             heads = np.concatenate([[0], np.flatnonzero(np.diff(src[a:b])) + 1])
             back[src[a:b][heads]] = np.logaddexp.reduceat(value[a:b], heads)
         logp = value - back[src]
-        order = np.argsort(src, kind="stable")
+        order = np.argsort(src << 8 | size)
         self.piece, self.follow, self.logp = piece[order], np.where(follow == n, -1, follow)[order], np.minimum(logp[order], 0.0)
         self.count = np.bincount(src, minlength=n)
         self.first = np.cumsum(self.count) - self.count
@@ -189,12 +190,18 @@ class Lattice:
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         got = self.piece[edges]
-        if (got >= 0).all():
+        bare = (got < 0).nonzero()[0]
+        if not len(bare):
             return got.astype(np.uint32)
-        out = []
-        for x in got.tolist():
-            out += [x] if x >= 0 else [self.pieces.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")]
-        return np.array(out, np.uint32)
+        code = -1 - got[bare]
+        if code.max() < 128:
+            got[bare] = self.pieces.ascii[code]
+            return got.astype(np.uint32)
+        out, last = [], 0
+        for i, c in zip(bare.tolist(), code.tolist(), strict=True):
+            out += [got[last:i], [self.pieces.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")]]
+            last = i + 1
+        return np.concatenate([*out, got[last:]]).astype(np.uint32)
 
 
 def lower_maximum(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
@@ -220,13 +227,13 @@ class Search:
         """Takes the best node of the queue; where the rest of its path has to be drawn: nodes and their words."""
         sample, lat = len(self.found), self.lattice
         value, _, which, at, node, taken = heapq.heappop(self.queue)
-        path, word = self.found[which][0], self.found[which][3]
+        path, _, _, word, reached = self.found[which]
         left = [e for e in range(lat.first[node], lat.first[node] + lat.count[node]) if e not in taken]
         p = np.exp(lat.logp[left] - lat.logp[left].max())
         edge = left[min(len(p) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), self.draw(sample, 2)[0], side="right")))]
         rest = [e for e in left if e != edge]
         if rest:
-            mass = lat.logp[path[:at]].sum() + np.logaddexp.reduce(lat.logp[rest])
+            mass = (reached[at - 1] if at else 0.0) + np.logaddexp.reduce(lat.logp[rest])
             self.push(float(lower_maximum(mass, -value, self.draw(sample, 3))[0]), which, at, node, taken | {edge})
         own, on = int(word[at]), lat.follow[edge]
         self.prefix = (np.append(path[:at], edge), np.append(word[:at], own))
@@ -244,7 +251,7 @@ class Search:
         path, word = np.concatenate([self.prefix[0], edges]), np.concatenate([self.prefix[1], words])
         steps = lat.logp[path]
         reached = np.cumsum(steps)
-        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word))
+        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word, reached))
         if len(edges) == 0:
             return
         own = slice(n, len(path))
@@ -253,7 +260,7 @@ class Search:
         with np.errstate(divide="ignore"):
             mass = reached[own] - steps[own] + np.log(-np.expm1(steps[own]))
         some = ((lat.count[at] > 1) & np.isfinite(mass)).nonzero()[0]
-        values = lower_maximum(mass[some], self.value, self.draw(len(self.found), 4, len(edges))[some])
+        values = lower_maximum(mass[some], self.value, uniforms(self.seed, draw_of(len(self.found), 4), some))
         if len(values) > self.k + 1:
             best = np.argpartition(-values, self.k)[: self.k + 1]
             some, values = some[best], values[best]
@@ -262,7 +269,7 @@ class Search:
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
         kappa = -self.queue[0][0] if self.queue else -np.inf
-        return [(self.lattice.ids_of(e), lp, g, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for e, lp, g, _ in self.found]
+        return [(self.lattice.ids_of(e), lp, g, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for e, lp, g, *_ in self.found]
 
 
 def sample_many(pieces: Pieces, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -298,8 +305,16 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
         for batch in slices(batches, BATCH):
             texts = [t.decode() for t in as_bytes(batch.column("__text"))]
             seeds = [xxhash.xxh64_intdigest(key, seed) for key in as_bytes(batch.column("__key"))]
-            got = [[{"ids": i.astype("<u4").tobytes(), "log_p": lp, "value": g, "inclusion": q} for i, lp, g, q in own] for own in sample_many(pieces, texts, k, seeds)]
-            yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(got, kind)], names=["__doc", "__samples"])
+            start = 0
+            while start < len(texts):
+                stop, held = start + 1, len(texts[start])
+                while stop < len(texts) and held + len(texts[stop]) <= CHARACTERS:
+                    held += len(texts[stop])
+                    stop += 1
+                own = sample_many(pieces, texts[start:stop], k, seeds[start:stop])
+                got = [[{"ids": i.astype("<u4").tobytes(), "log_p": lp, "value": g, "inclusion": q} for i, lp, g, q in one] for one in own]
+                yield pa.RecordBatch.from_arrays([batch.column("__doc").slice(start, stop - start), pa.array(got, kind)], names=["__doc", "__samples"])
+                start = stop
 
     return run
 
