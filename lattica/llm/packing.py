@@ -26,7 +26,7 @@ from .shared import as_bytes, once_a_worker, slices
 
 WINDOW, CLOSE, OPEN = 4096, 2, 1024
 #: Words kept for a worker: as written, and without case and final marks.
-SEEN, KNOWN, LONGEST = 800_000, 600_000, 48
+SEEN, KNOWN, LONGEST = 300_000, 350_000, 48
 FINAL_MARKS = re.compile(rb"([a-z])([.,!]+)\Z")
 
 

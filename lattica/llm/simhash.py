@@ -212,12 +212,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
 
     Of rows that repeat that doc_id, one stays; rows without doc_id stay if their class has no doc_id,
     one for each class."""
-    ided = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id")), "simhash-docs")
-    found = near_duplicates(ided.select("row", "text", "id"), "text", "id", **options).select(F.col("__doc.row").alias("row"), F.col("__doc.id").alias("id"), "component_id", "fingerprint")
-    least = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    ided = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")), "simhash-docs")
+    plain = ided.select("row", F.col(f"d.`{text}`").alias("text"), F.col(f"d.`{doc_id}`").alias("id"))
+    found = near_duplicates(plain, "text", "id", **options).select(F.col("__doc.row").alias("row"), F.col("__doc.id").alias("id"), "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
     # Null classes are told apart by fingerprint; linked fingerprints without any doc_id count as classes of their own.
-    one = least.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min("row").alias("row")).select("row")
-    return ided.join(one, "row", "left_semi").select("d.*")
+    first = F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("first")
+    classes = found.groupBy("component_id", "f").agg(F.count("*").alias("rows"), first).filter("rows > 1")
+    classes = classes.select(F.col("component_id").alias("c"), F.col("f").alias("g"), "first")
+    dropped = found.join(classes, F.col("component_id").eqNullSafe(F.col("c")) & F.col("f").eqNullSafe(F.col("g"))).filter("row <> first").select("row")
+    # Staged, so that Spark knows its size: documents move only where the rows to drop are too many to broadcast.
+    return ided.join(staged(dropped, "simhash-dropped"), "row", "left_anti").select("d.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
