@@ -20,7 +20,9 @@ inside a run is skipped unless the last match ended there, and repeats don't giv
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import exp, log
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ PATTERNS = {
     "idnum": r"(?<![0-9+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![.-]?[0-9])",
     "masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
 }
-#: A text without this has no span of the kind.
-NEEDS = {"email": "@", "phone": "+", "masked": "at"}
+#: A text without any of these has no span of the kind.
+NEEDS = {"email": ("@",), "phone": ("+",), "masked": ("at]", "at)")}
 LABELERS = ("shape", "edge", "gazetteer", "speaks_for", "speaks_against")
 DIALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 DOMAINS = "com net org edu gov mil int info biz io co uk de fr es it nl pl ru jp cn in br au ca us ch at be se no dk fi pt ie cz gr".split()
@@ -47,12 +49,13 @@ AGAINST = "version|release|isbn|issn|doi|figure|fig|table|section|chapter|page|p
 NEAR = 24
 
 
-def pieces_of(text: Column, kind: str) -> tuple[Column, Column]:
-    """All matches of a kind, and the text between them (made only where there is a match)."""
+def hits_of(text: Column, kind: str) -> Column:
+    """All matches of a kind."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     if kind in NEEDS:
-        hits = F.when(F.contains(text, F.lit(NEEDS[kind])), hits).otherwise(F.array().cast("array<string>"))
-    return hits, PATTERNS[kind]
+        some = reduce(or_, [F.contains(text, F.lit(x)) for x in NEEDS[kind]])
+        hits = F.when(some, hits).otherwise(F.array().cast("array<string>"))
+    return hits
 
 
 def luhn(digits: str) -> str:
@@ -61,7 +64,7 @@ def luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (s, i) -> s + if(i % 2 = 1, if({doubled} > 4, 2 * {doubled} - 9, 2 * {doubled}), {doubled})) % 10 = 0"
 
 
-DIGITS = "regexp_replace(x.hit, '[^0-9]', '')"
+DIGITS = "x.digits"
 VALID = {
     "email": "true",
     "ip": "forall(split(x.hit, '[.]'), p -> length(trim(leading '0' from p)) <= 3 and cast(concat('0', trim(leading '0' from p)) as int) <= 255)",
@@ -92,17 +95,19 @@ LENGTH_BIN = "case when length(x.hit) < 9 then 0 when length(x.hit) < 15 then 1
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """docs as `__doc` with `__spans`: structs of start, kind, end, five votes and a length bin."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.withColumns({f"__h{k}": pieces_of(F.col("__text"), kind)[0] for k, kind in enumerate(KINDS)})
+    rows = rows.withColumns({f"__h{k}": hits_of(F.col("__text"), kind) for k, kind in enumerate(KINDS)})
     for k, kind in enumerate(KINDS):
-        found = f"transform(__h{k}, (h, i) -> struct(cast({k} as int) as kind, h as hit, __p{k}[i] as piece, substring(__p{k}[i], -{NEAR}, {NEAR}) as before, substring(__p{k}[i + 1], 1, 1) as after))"
-        ends = f"aggregate(__f{k}, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x.piece) + length(x.hit)))"
-        rows = rows.withColumn(f"__p{k}", F.when(F.size(f"__h{k}") > 0, F.split("__text", PATTERNS[kind], -1)))
-        rows = rows.withColumn(f"__f{k}", F.when(F.size(f"__h{k}") > 0, F.expr(found)))
-        rows = rows.withColumn(f"__e{k}", F.when(F.size(f"__h{k}") > 0, F.expr(ends)))
+        # Arrays meet in zip_with(), never as columns inside a lambda: the optimizer might move what makes them in there.
+        some, n = F.size(f"__h{k}") > 0, f"size(__h{k})"
+        pairs = f"zip_with(__h{k}, slice(__p{k}, 1, {n}), (h, b) -> struct(h as hit, b as piece))"
+        found = f"zip_with({pairs}, slice(__p{k}, 2, {n}), (x, a) -> struct(cast({k} as int) as kind, x.hit as hit, regexp_replace(x.hit, '[^0-9]', '') as digits, length(x.piece) as gap, substring(x.piece, -{NEAR}, {NEAR}) as before, substring(a, 1, 1) as after))"
+        ends = f"aggregate(__f{k}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x.gap + length(x.hit)))"
+        placed = f"zip_with(__f{k}, slice(__e{k}, 2, {n}), (x, e) -> struct(x.kind as kind, x.hit as hit, x.digits as digits, x.before as before, x.after as after, e as to))"
         votes = ", ".join(f"cast({VOTES[v]} as int) as {v}" for v in LABELERS)
-        valid = f"filter(transform(__f{k}, (x, i) -> struct(x.kind as kind, x.hit as hit, x.before as before, x.after as after, __e{k}[i + 1] as to)), x -> {VALID[kind]})"
-        told = f"transform({valid}, x -> struct(cast(x.to - length(x.hit) as int) as start, x.kind as kind, cast(x.to as int) as end, {votes}, cast({LENGTH_BIN} as int) as size))"
-        rows = rows.withColumn(f"__s{k}", F.expr(f"case when size(__h{k}) > 0 then {told} end"))
+        told = f"transform(filter({placed}, x -> {VALID[kind]}), x -> struct(cast(x.to - length(x.hit) as int) as start, x.kind as kind, cast(x.to as int) as end, {votes}, cast({LENGTH_BIN} as int) as size))"
+        rows = rows.withColumn(f"__p{k}", F.when(some, F.split("__text", PATTERNS[kind], -1)))
+        rows = rows.withColumn(f"__f{k}", F.when(some, F.expr(found))).withColumn(f"__e{k}", F.when(some, F.expr(ends)))
+        rows = rows.withColumn(f"__s{k}", F.when(some, F.expr(told)))
     kept = [F.col(f"__s{k}") for k in range(len(KINDS))]
     rows = rows.withColumn("__spans", F.array_sort(F.flatten(F.filter(F.array(*kept), lambda a: a.isNotNull()))))
     return rows.select("__doc", "__text", "__spans")
