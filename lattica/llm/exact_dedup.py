@@ -163,7 +163,10 @@ def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     marked = flagged(rows)
     order = [*[of(c).alias(c) for c in names], "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("__sha").alias("text_sha256")]
     alone = marked.filter("not __suspect").withColumns({"keep_id": of(doc_id), "group_size": F.lit(1), "kept": F.lit(True)})
-    shared = marked.filter("__suspect").join(groups, "__sha", "left")
+    # A block asks once for each of its texts, so a hot text has a row for each block here, not for each copy.
+    asked = flagged(rows.select("__block", "__pos", "__sha")).filter("__suspect").select("__block", "__sha").distinct()
+    told = asked.join(groups, "__sha")
+    shared = marked.filter("__suspect").join(told, ["__block", "__sha"], "left")
     shared = shared.withColumn("kept", F.col("__first").isNull() | ((F.col("__block") == F.col("__first.__block")) & (F.col("__pos") == F.col("__first.__pos"))))
     shared = shared.withColumn("keep_id", F.when(F.col("__first").isNull(), of(doc_id)).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
     return alone.select(*order).unionByName(shared.select(*order))
