@@ -2,7 +2,7 @@
 
 quality   drops documents that the additive model scores below one half
 exact     drops documents whose text a kept document has (A-Z lower-cased)
-near      keeps one document of each SimHash class
+near      keeps one document of each class linked by a Jaccard similarity of 0.8 or more (five-word shingles)
 private   puts kinds in the place of personal data
 packed    packs what is left into token windows: a row for each piece
 
@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Five-word shingles: the stage has no contract of its own.
-    return simhash.keep_one(docs, words=5)
+    # Five-word shingles and similarity 0.8: the stage has no contract of its own.
+    return simhash.keep_one_similar(docs, words=5, similarity=0.8)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .shared import as_bytes, slices, staged
 
 DISTANCE, BLOCKS, RUN, BRUTE = 3, 6, 65_536, 8_192
@@ -224,6 +225,17 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     return ided.join(staged(dropped, "simhash-dropped"), "row", "left_anti").select("d.*")
 
 
+def keep_one_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, seed: int = 42, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """As keep_one, but rows are linked by the Jaccard similarity of their shingles, not by fingerprints."""
+    ided = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")), "similar-docs")
+    nodes = components(similar.links(ided.select("row", F.col(f"d.`{text}`").alias("text")), components, words, seed, similarity))
+    members = nodes.join(ided.select("row", F.col(f"d.`{doc_id}`").alias("id")), F.col("node") == F.col("row")).select("root", "id", "row")
+    # Of each class the least doc_id (null last), and of rows that repeat it the first.
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("first"))
+    dropped = members.join(first, "root").filter("row <> first").select("row")
+    return ided.join(staged(dropped, "similar-dropped"), "row", "left_anti").select("d.*")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
