@@ -2,10 +2,11 @@
 
 Texts are normalised to lower-case words of letters and digits. An index leads from each bigram to
 the templates that have it. In a document the places that share bigrams with a template form
-segments (gaps of at most `GAP` words). With threshold t, a segment of n bigrams can only match a
-template of m bigrams if n lies between m*t/(2-t) and m*(2-t)/t, and shares at least t*(n+m)/2
-bigrams with it; segments and templates outside are pruned before any coefficient is computed. The
-coefficient counts repeated bigrams as often as both sides have them.
+windows: each from one such place (hit) to a later one, since words beyond the outer hits only lower
+the coefficient. With threshold t, a window of n bigrams can only match a template of m bigrams if n
+lies between m*t/(2-t) and m*(2-t)/t, and shares at least t*(n+m)/2 bigrams with it. Hits from which
+the longest window shares too few are pruned by running counts; from the others every end is scored.
+The coefficient counts repeated bigrams as often as both sides have them.
 
 Defined cases: null and empty texts have no match; of overlapping matches the one that shares most
 bigrams stays, then the better score, then the template first in the list; repeated rows get equal results; other columns pass through; an
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .shared import as_bytes, slices
 
-THRESHOLD, GAP = 0.8, 6
+THRESHOLD = 0.8
 #: Public licence notices and texts.
 TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
@@ -62,8 +63,8 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    def __init__(self, texts: Mapping[str, str], threshold: float = THRESHOLD, gap: int = GAP):
-        self.names, self.threshold, self.gap = list(texts), threshold, gap
+    def __init__(self, texts: Mapping[str, str], threshold: float = THRESHOLD):
+        self.names, self.threshold = list(texts), threshold
         self.counts = [Counter(bigrams(normal_words(t))) for t in texts.values()]
         if empty := [n for n, c in zip(self.names, self.counts, strict=True) if not c]:
             raise ValueError(f"templates of less than two words: {empty}")
@@ -77,55 +78,61 @@ class Templates:
     def matches(self, text: str) -> list[tuple[int, int, int, float]]:
         """(template, first word, end word, Dice) of the places that match, left to right."""
         words = normal_words(text)
+        pairs = bigrams(words)
         places, known = defaultdict(list), self.index
-        for at, b in enumerate(zip(words, words[1:], strict=False)):
+        for at, b in enumerate(pairs):
             if b in known:
                 for i in known[b]:
                     places[i].append(at)
-        found = []
-        for i, hits in places.items():
-            low, high = self.bounds[i]
-            if len(hits) < low * self.threshold:
-                continue
-            start = 0
-            for k in range(1, len(hits) + 1):
-                if k == len(hits) or hits[k] - hits[k - 1] > self.gap:
-                    found += self.best(i, words, hits[start:k])
-                    start = k
-        kept = []
-        shared = lambda m: m[3] * (m[2] - m[1] - 1 + self.counts[m[0]].total())
-        for i, a, b, s in sorted(found, key=lambda m: (-shared(m), -m[3], m[0], m[1])):
-            if all(b <= x[1] or a >= x[2] for x in kept):
+        found = [x for i, hits in places.items() for x in self.windows(i, pairs, hits)]
+        kept, taken = [], bytearray(len(words))
+        for shared, s, i, a, b in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
                 kept.append((i, a, b, s))
         return sorted(kept, key=lambda x: x[1])
 
-    def best(self, i: int, words: list[str], hits: list[int]) -> list[tuple[int, int, int, float]]:
-        """Non-overlapping windows of one segment that match a template: ends of windows are hits; sizes within the bounds."""
+    def windows(self, i: int, pairs: list[tuple[str, str]], hits: list[int]) -> list[tuple[int, float, int, int, int]]:
+        """(shared bigrams, Dice, template, first word, end word) of the windows from hit to hit that match a template.
+
+        Left out: windows whose last hit shares nothing more, as a shorter one inside shares as much and scores better."""
         low, high = self.bounds[i]
-        size = self.counts[i].total()
-        if len(hits) < self.threshold * (low + size) / 2:
+        counts, size = self.counts[i], self.counts[i].total()
+        need = self.threshold * (low + size) / 2 - 1e-9
+        if len(hits) < need:
             return []
-        out = []
-        if hits[-1] - hits[0] + 1 <= high:
-            spans = [(hits[0], hits[-1] + 1)]
-        else:  # several copies in a row, or more text between: windows of the template's size from each hit
-            spans = [(h, min(h + size, hits[-1] + 1)) for h in hits]
-        for a, b in spans:
-            if low <= b - a <= high:
-                score = dice(Counter(bigrams(words[a : b + 1])), self.counts[i])
-                if score >= self.threshold:
-                    out.append((i, a, b + 1, score))
+        out, seen, have, end = [], Counter(), 0, 0
+        for at, h in enumerate(hits):
+            while end < len(hits) and hits[end] - h + 1 <= high + 1e-9:
+                b = pairs[hits[end]]
+                seen[b] += 1
+                have += seen[b] <= counts[b]
+                end += 1
+            if have >= need:
+                got, shared = {}, 0
+                for k in hits[at:end]:
+                    b = pairs[k]
+                    n = got.get(b, 0)
+                    if n < counts[b]:
+                        got[b] = n + 1
+                        shared += 1
+                        score = 2 * shared / (k - h + 1 + size)
+                        if score >= self.threshold:
+                            out.append((shared, score, i, h, k + 2))
+            b = pairs[h]
+            have -= seen[b] <= counts[b]
+            seen[b] -= 1
         return out
 
 
 MATCH = "array<struct<license:string,start:int,end:int,dice:double>>"
 
 
-def scan_batches(templates: Mapping[str, str], threshold: float, gap: int):
+def scan_batches(templates: Mapping[str, str], threshold: float):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = Templates(templates, threshold, gap)
+        known = Templates(templates, threshold)
         kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("dice", pa.float64())]))
         for batch in slices(batches):
             got = [[{"license": known.names[i], "start": a, "end": b, "dice": s} for i, a, b, s in known.matches(t.decode())] for t in as_bytes(batch.column("__text"))]
@@ -134,11 +141,11 @@ def scan_batches(templates: Mapping[str, str], threshold: float, gap: int):
     return run
 
 
-def scanned(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, gap: int = GAP) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs as a struct `__doc`, and `__licenses`: name, first word, end word and Dice coefficient of each match. No shuffle."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__text"))
     kind = T.StructType([packed.schema["__doc"], T.StructField("__licenses", T._parse_datatype_string(MATCH))])
-    return packed.mapInArrow(scan_batches(dict(templates), threshold, gap), kind)
+    return packed.mapInArrow(scan_batches(dict(templates), threshold), kind)
 
 
 def op3_dice_licenses(spark, sf_dir: str) -> DataFrame:

@@ -57,3 +57,13 @@ def test_query_and_odd_rows(spark):
     assert len(rows) == 4 and sum(len(r["__licenses"]) for r in rows) == 1 and licenses.scanned(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.Templates({"short": "one"})
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0-header", "ISC", "BSD-2-Clause", "GPL-3.0-header"])
+@pytest.mark.parametrize("extra", [7, 8, 10])
+def test_long_insertions(name, extra):
+    words = licenses.normal_words(licenses.TEMPLATES[name])
+    t, at = licenses.Templates(licenses.TEMPLATES), len(words) // 2
+    text = [*words[:at], *(f"foo{i}" for i in range(extra)), *words[at:]]
+    want = licenses.dice(licenses.Counter(licenses.bigrams(text)), licenses.Counter(licenses.bigrams(words)))
+    assert want >= 0.8 and t.matches(" ".join(["before", *text, "after"])) == [(t.names.index(name), 1, len(text) + 1, want)]
