@@ -67,3 +67,43 @@ def test_long_insertions(name, extra):
     text = [*words[:at], *(f"foo{i}" for i in range(extra)), *words[at:]]
     want = licenses.dice(licenses.Counter(licenses.bigrams(text)), licenses.Counter(licenses.bigrams(words)))
     assert want >= 0.8 and t.matches(" ".join(["before", *text, "after"])) == [(t.names.index(name), 1, len(text) + 1, want)]
+
+
+def every_window(t, words):
+    """The matches by the rule alone: every template, every window of every size, the best of those that overlap."""
+    pairs, found = licenses.bigrams(words), []
+    for i, c in enumerate(t.counts):
+        for a in range(len(pairs)):
+            for b in range(a + 1, len(pairs) + 1):
+                n = licenses.Counter(pairs[a:b])
+                score = licenses.dice(n, c)
+                if score >= t.threshold:
+                    found.append(((n & c).total(), score, i, a, b + 1))
+    kept = []
+    for _, s, i, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+        if all(b <= x[1] or a >= x[2] for x in kept):
+            kept.append((i, a, b, s))
+    return sorted(kept, key=lambda x: x[1])
+
+
+def test_equals_every_window_of_every_size():
+    rng = random.Random(4)
+    t = licenses.Templates({"a": "one two three four five six seven one two", "b": "one two three nine ten", "c": "x y", "d": "in the one of the two in the three of the four of the five in the six"})
+    vocabulary, some = "one two three four five six seven nine ten x y z of in the".split(), 0
+    for _ in range(120):
+        words = []
+        for _ in range(rng.choice([1, 2, 3])):
+            own = "one two three four five six seven one two|one two three nine ten|in the one of the two in the three of the four of the five in the six".split("|")[rng.randrange(3)].split()
+            words += [w if rng.random() > 0.08 else rng.choice(vocabulary) for w in own[: rng.choice([len(own), len(own) * 3 // 4])]] + [rng.choice(vocabulary) for _ in range(rng.randrange(8))]
+        want = every_window(t, words)
+        some += len(want)
+        assert t.matches(" ".join(words)) == want
+    assert some > 100
+
+
+@pytest.mark.parametrize("share,after", [(0.75, "and the number of the pages in the book "), (0.7, "The history of the town is told in the second part of the book ")])
+def test_shortened_copy_before_prose(share, after):
+    words = licenses.normal_words(licenses.TEMPLATES["MIT"])
+    t = licenses.Templates(licenses.TEMPLATES)
+    got = t.matches(" ".join(words[: int(len(words) * share)]) + " " + after * 20)
+    assert [t.names[m[0]] for m in got] == ["MIT"]
