@@ -8,18 +8,27 @@ A node of the search is a set of paths with a common start, and its value the ma
 Gumbel-perturbed log-probabilities. The root's value is Gumbel; the child on the maximal path keeps
 its parent's value, and the others' maximum is a truncated Gumbel with the mass that is left. So the
 search always expands the node with the largest value: it draws a path from it by edge probabilities
-and queues, for each place on the path, the node "here, but by another edge". The first k paths are k
+and queues what leaves the path at some place. Such a node stands for a range of places: when its turn
+comes, a place is drawn by mass and keeps the value as the node "here, but by another edge", and the
+ranges before and after it are queued with truncated Gumbels of their own. The first k paths are k
 distinct segmentations without replacement; the next value on the queue is the threshold kappa, from
 which the inclusion score of each is 1 - exp(-exp(log p - kappa)).
 
 Spaces become the piece set's mark and no piece has a mark after another character, so a text's lattice
-is a chain of lattices of words; those are built once for a batch of texts, and all walks are drawn together.
+is a chain of lattices of words. A worker keeps those for later batches until they have `KEPT` nodes,
+then begins anew; a word's numbers don't depend on what is kept beside it. All walks of a batch are
+drawn together.
 
 Every random number is a hash of the row's key, `seed`, and its place in the search.
 
+Decoding turns ids back into text: pieces in a row, bytes of byte pieces, marks as spaces, without the
+space that normalising puts in front.
+
 Defined cases: a null or empty text has one segmentation, without pieces; a text with fewer
-segmentations than k gives them all, with inclusion 1; equal keys draw equally; a null key is a key of
-its own; other columns pass through; an empty table gives an empty result.
+segmentations than k gives them all, with inclusion 1; equal keys draw equally, and equal rows get equal
+samples; at equal values the node queued first goes first; a null key is a key of its own; a very long
+text is a batch of its own, read whole; other columns pass through inside `__doc`, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from math import exp, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,18 +47,38 @@ from .shared import as_bytes, once_a_worker, slices
 
 MARK = "▁"
 K, THETA = 3, 0.002
-#: Texts that share lattices of words and are walked together: so many, and so many characters unless one text has more.
+#: Texts that are walked together: so many, and so many characters unless one text has more.
 BATCH, CHARACTERS = 64, 250_000
+#: Nodes of kept lattices (about 80 bytes each with their edges) beyond which a worker begins anew.
+KEPT = 500_000
+
+
+#: What draws and places add to a state, and the shifts and factors that mix it (fixed values of a public generator).
+DRAW, PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+ALL_BITS, LARGEST = (1 << 64) - 1, 1 - 2.0**-53
 
 
-def uniforms(seed: np.ndarray, draw: int, at: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from a seed, the number of a draw and a place: the same wherever and in whatever batch they are made."""
-    with np.errstate(over="ignore"):
-        x = seed + np.uint64(draw % 2**64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+def uniforms(states: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit states: the same wherever and in whatever batch they are made."""
+    x = states
+    for shift, factor in MIX:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(11)
+    u = x.astype(float)
+    u += 0.5
+    u /= 2.0**53
+    return np.minimum(u, LARGEST, out=u)
+
+
+def uniform(state: int) -> float:
+    """uniforms() for one state."""
+    x = state & ALL_BITS
+    for shift, factor in MIX:
+        x = (x ^ x >> shift) * factor & ALL_BITS
+    x ^= x >> 31
+    return min(((x >> 11) + 0.5) / 2.0**53, LARGEST)
 
 
 def draw_of(sample: int, tag: int, step: int = 0) -> int:
@@ -111,85 +141,131 @@ class Pieces:
 
 
 class Lattice:
-    """Lattices of words side by side: a node for each character, its edges in a row; edges that end a word lead to -1."""
+    """Lattices of words side by side: a node for each character, its edges in a row; edges that end a word lead to -1.
+
+    piece, follow, logp, rest (log of the share of a node's other edges) and upto (shares summed up to an edge) are by edge."""
 
-    def __init__(self, pieces: Pieces, words: list[str]):
+    KINDS = {"first": np.int64, "count": np.int32, "piece": np.int32, "follow": np.int64, "logp": float, "rest": float, "upto": float}
+
+    def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.zeros(0, kind))
+        self.clear()
+
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.nodes = self.edges = 0
+
+    def append(self, name: str, at: int, values: np.ndarray) -> None:
+        """Puts values at the end of an array, which grows by doubling."""
+        own = getattr(self, name)
+        if at + len(values) > len(own):
+            wider = np.empty(max(2 * len(own), at + len(values)), own.dtype)
+            wider[:at] = own[:at]
+            setattr(self, name, wider)
+            own = wider
+        own[at : at + len(values)] = values
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the lattices of words it doesn't have."""
+        new = sorted(words.difference(self.root))
+        if not new:
+            return
+        pieces = self.pieces
+        length = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(length)
-        self.root = dict(zip(words, (ends - length).tolist(), strict=True))
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.root.update(zip(new, (self.nodes + ends - length).tolist(), strict=True))
+        code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n = len(code)
         left = np.repeat(ends, length) - np.arange(n)  # characters to the end of the word
         at, node = np.arange(n), pieces.first[code].astype(np.int64)
-        src, size, piece, weight = [], [], [], []
-        depth = 1
         lone = (node < 0) | (pieces.piece[node] < 0)  # no piece of this character alone: bytes
         alone = lone.nonzero()[0]
-        src.append(alone)
-        size.append(np.ones(len(alone), np.int64))
-        piece.append(-1 - code[alone])
-        weight.append(np.full(len(alone), pieces.unknown))
+        # Of each size the nodes that have such an edge, in order, with its piece and weight.
+        found = [(alone, 1, -1 - code[alone], np.full(len(alone), pieces.unknown))]
         alive = node >= 0
-        at, node = at[alive], node[alive]
+        at, node, depth = at[alive], node[alive], 1
         while len(at):
             hit = pieces.piece[node] >= 0
-            src.append(at[hit])
-            size.append(np.full(int(hit.sum()), depth))
-            piece.append(pieces.piece[node[hit]])
-            weight.append(pieces.weight[node[hit]])
+            found.append((at[hit], depth, pieces.piece[node[hit]], pieces.weight[node[hit]]))
             on = left[at] > depth
             at, node = at[on], node[on]
             node = pieces.step(node, code[at + depth])
             at, node = at[node >= 0], node[node >= 0]
             depth += 1
-        src, size, piece, weight = map(np.concatenate, (src, size, piece, weight))
+        count = np.zeros(n, np.int64)
+        for src, *_ in found:
+            count[src] += 1
+        first = np.cumsum(count) - count
+        m, free = int(count.sum()), first.copy()
+        size, piece, weight = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
+        for src, depth, own, w in found:
+            place = free[src]
+            size[place], piece[place], weight[place] = depth, own, w
+            free[src] += 1
+        src = np.repeat(np.arange(n), count)
         # Backward sums, all words together: nodes in the order of their distance from the end.
-        order = np.argsort(left[src] << 40 | src << 8 | size)
-        src, size, piece, weight = src[order], size[order], piece[order], weight[order]
-        follow = np.where(size == left[src], n, src + size)
+        distance = left[src]
+        order = np.argsort(distance.astype(np.uint16) if len(left) and left.max() < 65_536 else distance, kind="stable")
+        ends_here = size == distance
+        follow = np.where(ends_here, n, src + size)
         back = np.zeros(n + 1)
-        value = weight.copy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(left[src])) + 1, [len(src)]]) if n else np.zeros(1, int)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            value[a:b] += back[follow[a:b]]
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(src[a:b])) + 1])
-            back[src[a:b][heads]] = np.logaddexp.reduceat(value[a:b], heads)
-        logp = value - back[src]
-        order = np.argsort(src << 8 | size)
-        self.piece, self.follow, self.logp = piece[order], np.where(follow == n, -1, follow)[order], np.minimum(logp[order], 0.0)
-        self.count = np.bincount(src, minlength=n)
-        self.first = np.cumsum(self.count) - self.count
-        upto = np.cumsum(np.exp(self.logp))
-        self.upto = upto - np.repeat(upto[self.first] - np.exp(self.logp[self.first]), self.count) if n else upto
-        if n:
-            self.upto[self.first + self.count - 1] = np.inf
+        value, by, to = weight[order], src[order], follow[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance[order])) + 1, [m]])
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(by)) + 1])
+        upto = np.searchsorted(heads, cuts).tolist()
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            value[a:b] += back[to[a:b]]
+            own = heads[upto[i] : upto[i + 1]]
+            back[by[own]] = np.logaddexp.reduceat(value[a:b], own - a)
+        logp = np.empty(m)
+        logp[order] = np.minimum(value - back[by], 0.0)
+        share = np.exp(logp)
+        # Shares are summed within a node, so that they don't depend on the words beside it.
+        edge, rank = first[count > 1], 1
+        many = count[count > 1]
+        while len(edge):
+            share[edge + rank] += share[edge + rank - 1]
+            on = many > rank + 1
+            edge, many, rank = edge[on], many[on], rank + 1
+        share[first + count - 1] = np.inf
+        with np.errstate(divide="ignore"):
+            rest = np.log(-np.expm1(logp))
+        for name, values in (("piece", piece), ("follow", np.where(ends_here, -1, follow + self.nodes)), ("logp", logp), ("rest", rest), ("upto", share)):
+            self.append(name, self.edges, values)
+        for name, values in (("first", first + self.edges), ("count", count)):
+            self.append(name, self.nodes, values)
+        self.nodes, self.edges = self.nodes + n, self.edges + m
 
     def walk(self, roots: np.ndarray, seeds: np.ndarray, sample: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a path drawn through each word, and which word each belongs to, in order."""
-        steps, owners = [], []
-        at, mine, step = roots, np.arange(len(roots)), 0
+        """Edges of a path drawn through each word, in order, and the number of each word's edges."""
+        base = seeds + np.uint64(draw_of(sample, 1) * DRAW & ALL_BITS) + word.astype(np.uint64) * np.uint64(PLACE)
+        passes, at, mine = [], roots, np.arange(len(roots))
         while len(at):
-            u = uniforms(seeds[mine], draw_of(sample, 1, step), word[mine])
+            u = uniforms(base[mine])
             edge = self.first[at]
             # Edges of a node are few; each pass moves those whose share isn't reached yet.
             more = (u >= self.upto[edge]).nonzero()[0]
             while len(more):
                 edge[more] += 1
                 more = more[u[more] >= self.upto[edge[more]]]
-            steps.append(edge)
-            owners.append(mine)
+            passes.append((edge, mine))
             at = self.follow[edge]
             on = at >= 0
-            at, mine, step = at[on], mine[on], step + 1
-        if not steps:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(steps)[order], owner[order]
+            at, mine = at[on], mine[on]
+            base += np.uint64(DRAW)
+        size = np.zeros(len(roots), np.int64)
+        for _, mine in passes:
+            size[mine] += 1
+        place = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        for i, (edge, mine) in enumerate(passes):
+            out[place[mine] + i] = edge
+        return out, size
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        got = self.piece[edges]
+        got = self.piece[edges].astype(np.int64)
         bare = (got < 0).nonzero()[0]
         if not len(bare):
             return got.astype(np.uint32)
@@ -204,91 +280,109 @@ class Lattice:
         return np.concatenate([*out, got[last:]]).astype(np.uint32)
 
 
-def lower_maximum(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
-    """Gumbels with log masses `mass`, given that they are below `top`."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return mass - np.log(np.exp(np.minimum(mass - top, 700.0)) - np.log(u))
+def lower_maximum(mass: float, top: float, u: float) -> float:
+    """A Gumbel with log mass `mass`, given that it is below `top`."""
+    return mass - log(exp(min(mass - top, 700.0)) - log(u))
+
+
+def total(masses: np.ndarray) -> float:
+    """Log of the sum of masses given as logs."""
+    top = masses.max(initial=-np.inf)
+    return float(top + np.log(np.exp(masses - top).sum())) if top > -np.inf else -np.inf
 
 
 class Search:
-    """The search over one text's lattice. Of a path's nodes the k+1 of largest value are queued: no more can ever be taken."""
+    """The search over one text's lattice.
+
+    The queue has nodes (-value, turn, path, start, stop, taken): paths that leave a found path at one of the places from
+    start to before stop; with `taken`, at start, by none of those edges."""
 
     def __init__(self, lattice: Lattice, roots: np.ndarray, k: int, seed: int):
         self.lattice, self.roots, self.k = lattice, roots, k
-        self.seed = np.array([seed], np.uint64)
+        self.seed = seed
         self.queue, self.found, self.turn = [], [], 0
         self.prefix = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.value = float(-np.log(-np.log(self.draw(0, 0)[0])))
+        self.value = -log(-log(self.draw(0, 0)))
+
+    def draw(self, sample: int, tag: int) -> float:
+        return uniform(self.seed + draw_of(sample, tag) * DRAW)
 
-    def draw(self, sample: int, tag: int, n: int = 1) -> np.ndarray:
-        return uniforms(self.seed, draw_of(sample, tag), np.arange(n))
+    def push(self, mass: float, top: float, tag: int, *node) -> None:
+        if mass > -np.inf:
+            heapq.heappush(self.queue, (-lower_maximum(mass, top, self.draw(len(self.found), tag)), self.turn, *node))
+            self.turn += 1
 
     def branch(self) -> tuple[np.ndarray, np.ndarray]:
         """Takes the best node of the queue; where the rest of its path has to be drawn: nodes and their words."""
         sample, lat = len(self.found), self.lattice
-        value, _, which, at, node, taken = heapq.heappop(self.queue)
-        path, _, _, word, reached = self.found[which]
-        left = [e for e in range(lat.first[node], lat.first[node] + lat.count[node]) if e not in taken]
-        p = np.exp(lat.logp[left] - lat.logp[left].max())
-        edge = left[min(len(p) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), self.draw(sample, 2)[0], side="right")))]
-        rest = [e for e in left if e != edge]
-        if rest:
-            mass = (reached[at - 1] if at else 0.0) + np.logaddexp.reduce(lat.logp[rest])
-            self.push(float(lower_maximum(mass, -value, self.draw(sample, 3))[0]), which, at, node, taken | {edge})
+        value, _, which, at, stop, taken = heapq.heappop(self.queue)
+        path, _, _, word, mass = self.found[which]
+        if not taken:
+            start = at
+            top = float(mass[start:stop].max())
+            upto = np.cumsum(np.exp(mass[start:stop] - top))
+            at += min(int(np.searchsorted(upto, upto[-1] * self.draw(sample, 4), side="right")), stop - start - 1)
+            while mass[at] == -np.inf:
+                at -= 1
+            before = float(upto[at - start - 1]) if at > start else 0.0
+            self.push(top + log(before) if before else -np.inf, -value, 5, which, start, at, frozenset())
+            self.push(total(mass[at + 1 : stop]), -value, 6, which, at + 1, stop, frozenset())
+            taken = frozenset([int(path[at])])
+        new_word = at == 0 or word[at] != word[at - 1]
+        node = int(self.roots[word[at]] if new_word else lat.follow[path[at - 1]])
+        first = int(lat.first[node])
+        left = [e for e in range(first, first + int(lat.count[node])) if e not in taken]
+        logp = lat.logp[left].tolist()
+        top = max(logp)
+        share = [exp(x - top) for x in logp]
+        edge, left_of = 0, self.draw(sample, 2) * sum(share)
+        while edge < len(left) - 1 and left_of >= share[edge]:
+            left_of -= share[edge]
+            edge += 1
+        if len(left) > 1 and (other := sum(share[:edge]) + sum(share[edge + 1 :])):
+            self.push(float(mass[at] - lat.rest[path[at]]) + top + log(other), -value, 3, which, at, at + 1, taken | {left[edge]})
+        edge = left[edge]
         own, on = int(word[at]), lat.follow[edge]
         self.prefix = (np.append(path[:at], edge), np.append(word[:at], own))
         self.value = -value
         starts, words = self.roots[own + 1 :], np.arange(own + 1, len(self.roots))
         return (np.concatenate([[on], starts]), np.concatenate([[own], words])) if on >= 0 else (starts, words)
 
-    def push(self, value: float, which: int, at: int, node: int, taken: frozenset) -> None:
-        heapq.heappush(self.queue, (-value, self.turn, which, at, node, taken))
-        self.turn += 1
-
     def expand(self, edges: np.ndarray, words: np.ndarray) -> None:
-        """Takes the path of the prefix and these edges, and queues the nodes on the edges."""
+        """Takes the path of the prefix and these edges, and queues what leaves it on those edges."""
         lat, n = self.lattice, len(self.prefix[0])
         path, word = np.concatenate([self.prefix[0], edges]), np.concatenate([self.prefix[1], words])
-        steps = lat.logp[path]
-        reached = np.cumsum(steps)
-        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word, reached))
-        if len(edges) == 0:
-            return
-        own = slice(n, len(path))
-        new_word = np.concatenate([[True], word[1:] != word[:-1]])[own]
-        at = np.where(new_word, self.roots[word[own]], lat.follow[np.concatenate([[0], path[:-1]])[own]])
-        with np.errstate(divide="ignore"):
-            mass = reached[own] - steps[own] + np.log(-np.expm1(steps[own]))
-        some = ((lat.count[at] > 1) & np.isfinite(mass)).nonzero()[0]
-        values = lower_maximum(mass[some], self.value, uniforms(self.seed, draw_of(len(self.found), 4), some))
-        if len(values) > self.k + 1:
-            best = np.argpartition(-values, self.k)[: self.k + 1]
-            some, values = some[best], values[best]
-        for i, v in zip(some.tolist(), values.tolist(), strict=True):
-            self.push(v, len(self.found) - 1, n + i, int(at[i]), frozenset([int(path[n + i])]))
+        reached, mass = np.cumsum(lat.logp[path]), lat.rest[path]
+        mass[1:] += reached[:-1]
+        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word, mass))
+        self.push(total(mass[n:]), self.value, 7, len(self.found) - 1, n, len(path), frozenset())
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
         kappa = -self.queue[0][0] if self.queue else -np.inf
         return [(self.lattice.ids_of(e), lp, g, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for e, lp, g, *_ in self.found]
 
 
-def sample_many(pieces: Pieces, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_many(lattice: Lattice, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations: (ids, log p, perturbed log p, inclusion), by falling value."""
+    pieces = lattice.pieces
+    if lattice.nodes > KEPT:
+        lattice.clear()
     split = [pieces.split(pieces.normal(t)) if t else [] for t in texts]
-    lattice = Lattice(pieces, list(dict.fromkeys(w for words in split for w in words)))
-    root = lattice.root
-    searches = [Search(lattice, np.array([root[w] for w in words], np.int64), k, seed) for words, seed in zip(split, seeds, strict=True)]
+    lattice.learn(set().union(*split))
+    root = lattice.root.__getitem__
+    searches = [Search(lattice, np.fromiter(map(root, words), np.int64, len(words)), k, seed) for words, seed in zip(split, seeds, strict=True)]
     for sample in range(k):
         jobs = [(s, *((s.roots, np.arange(len(s.roots))) if not sample else s.branch())) for s in searches if not sample or s.queue]
         if not jobs:
             break
         sizes = [len(starts) for _, starts, _ in jobs]
         words = np.concatenate([w for _, _, w in jobs]).astype(np.int64)
-        of = np.repeat(np.concatenate([s.seed for s, _, _ in jobs]), sizes)
-        edges, owner = lattice.walk(np.concatenate([x for _, x, _ in jobs]).astype(np.int64), of, sample, words)
-        bounds = np.searchsorted(owner, np.cumsum([0, *sizes]))
-        for (s, _, _), a, b in zip(jobs, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            s.expand(edges[a:b], words[owner[a:b]])
+        of = np.repeat(np.array([s.seed for s, _, _ in jobs], np.uint64), sizes)
+        edges, steps = lattice.walk(np.concatenate([x for _, x, _ in jobs]).astype(np.int64), of, sample, words)
+        bounds = np.concatenate([[0], np.cumsum(steps)])[np.cumsum([0, *sizes])].tolist()
+        word = np.repeat(words, steps)
+        for (s, _, _), a, b in zip(jobs, bounds[:-1], bounds[1:], strict=True):
+            s.expand(edges[a:b], word[a:b])
     return [s.result() for s in searches]
 
 
@@ -300,7 +394,7 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
         import pyarrow as pa
         import xxhash
 
-        pieces = once_a_worker(f"pieces {path} {theta}", lambda: Pieces(path, theta))
+        lattice = once_a_worker(f"lattice {path} {theta}", lambda: Lattice(Pieces(path, theta)))
         kind = pa.list_(pa.struct([("ids", pa.binary()), ("log_p", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64())]))
         for batch in slices(batches, BATCH):
             texts = [t.decode() for t in as_bytes(batch.column("__text"))]
@@ -311,7 +405,7 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
                 while stop < len(texts) and held + len(texts[stop]) <= CHARACTERS:
                     held += len(texts[stop])
                     stop += 1
-                own = sample_many(pieces, texts[start:stop], k, seeds[start:stop])
+                own = sample_many(lattice, texts[start:stop], k, seeds[start:stop])
                 got = [[{"ids": i.astype("<u4").tobytes(), "log_p": lp, "value": g, "inclusion": q} for i, lp, g, q in one] for one in own]
                 yield pa.RecordBatch.from_arrays([batch.column("__doc").slice(start, stop - start), pa.array(got, kind)], names=["__doc", "__samples"])
                 start = stop
@@ -326,14 +420,39 @@ def sampled(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_
     return packed.mapInArrow(sample_batches(model, k, theta, seed), T.StructType([packed.schema["__doc"], T.StructField("__samples", T._parse_datatype_string(SAMPLES))]))
 
 
+class Decoder:
+    """Ids to text by a table of bytes."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.table, self.unknown = [], " \u2047 ".encode()
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.table.append(bytes([int(piece[1:-1], 16)]))
+            elif model.is_unknown(i):
+                self.table.append(self.unknown)
+            else:
+                self.table.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
+
+    def text(self, ids: bytes) -> str:
+        own = np.frombuffer(ids, "<u4")
+        if not len(own):
+            return ""
+        if own.max() >= len(self.table):
+            raise ValueError(f"no piece has the id {own.max()}")
+        return b"".join(map(self.table.__getitem__, own.tolist())).decode("utf-8", "replace").removeprefix(" ")
+
+
 def decode_batches(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import sentencepiece
 
-        model = once_a_worker(f"decoder {path}", lambda: sentencepiece.SentencePieceProcessor(model_file=path))
+        decoder = once_a_worker(f"decoder {path}", lambda: Decoder(path))
         for batch in slices(batches):
-            texts = [model.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+            texts = [decoder.text(x or b"") for x in batch.column("ids").to_pylist()]
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
@@ -341,7 +460,10 @@ def decode_batches(path: str):
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """rows with their column `ids` turned back into `text`; other columns pass through."""
+    """rows with their column `ids` turned back into `text`; other columns pass through. Null ids are an empty text, bytes
+    that are no UTF-8 become U+FFFD, ids beyond the model raise, and so does a column that is called text already."""
+    if "text" in (c.lower() for c in rows.columns):
+        raise ValueError("a column is called text already")
     rest = [f for f in rows.schema.fields if f.name != "ids"]
     return rows.mapInArrow(decode_batches(model), T.StructType([*rest, T.StructField("text", T.StringType())]))
 
@@ -350,5 +472,7 @@ def op7_gumbel_top_k(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = sampled(docs, public_tokenizers.path("piece_bpe_32k.model")).select("__doc.doc_id", F.posexplode("__samples").alias("rank", "s"))
-    return got.select("doc_id", "rank", (F.octet_length("s.ids") / 4).cast("long").alias("pieces"), F.crc32("s.ids").alias("ids_crc32"), F.round("s.log_p", 6).alias("log_p"), F.round("s.value", 6).alias("value"), F.col("s.inclusion").alias("inclusion"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    got = sampled(docs, model).select("__doc.doc_id", F.posexplode("__samples").alias("rank", "s"))
+    got = got.select("doc_id", "rank", (F.octet_length("s.ids") / 4).cast("long").alias("pieces"), F.crc32("s.ids").alias("ids_crc32"), F.round("s.log_p", 6).alias("log_p"), F.round("s.value", 6).alias("value"), F.col("s.inclusion").alias("inclusion"), F.col("s.ids").alias("ids"))
+    return decoded(got, model).withColumn("decoded_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")

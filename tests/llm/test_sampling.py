@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from lattica.llm import sampling
 
@@ -25,6 +27,7 @@ def segmentations(pieces, text):
 
 def test_samples_follow_the_distribution_without_replacement():
     pieces = sampling.Pieces(theta=1.0, scores=SCORES)
+    lattice = sampling.Lattice(pieces)
     text = "▁aba▁ab"
     every = segmentations(pieces, text)
     z = np.logaddexp.reduce([w for _, w in every])
@@ -33,7 +36,7 @@ def test_samples_follow_the_distribution_without_replacement():
     first, second, trials = Counter(), Counter(), 6000
     estimate = 0.0
     for t in range(trials):
-        (got,) = sampling.sample_many(pieces, ["▁aba▁ab"], 3, [t * 7919])
+        (got,) = sampling.sample_many(lattice, ["▁aba▁ab"], 3, [t * 7919])
         ids = [tuple(e.tolist()) for e, *_ in got]
         assert len(set(ids)) == 3 and [g for *_, g, _ in got] == sorted((g for *_, g, _ in got), reverse=True)
         for i, (_, lp, _, q) in zip(ids, got, strict=True):
@@ -52,8 +55,8 @@ def test_samples_follow_the_distribution_without_replacement():
 def test_all_segmentations_come_out_once():
     pieces = sampling.Pieces(theta=1.0, scores=SCORES)
     every = segmentations(pieces, "▁abab")
-    ((got, other)) = sampling.sample_many(pieces, ["▁abab", "▁a ab"], 1000, [1, 2])
-    assert other == other and sampling.sample_many(pieces, ["x", "▁abab"], 1000, [2, 1])[1][0][1] == got[0][1]
+    lattice = sampling.Lattice(pieces)
+    got, _ = sampling.sample_many(lattice, ["▁abab", "▁a ab"], 1000, [1, 2])
     assert sorted(tuple(e.tolist()) for e, *_ in got) == sorted(s for s, _ in every)
     assert all(q == 1 for *_, q in got)
 
@@ -72,11 +75,74 @@ def test_round_trip_on_the_public_model(spark):
         assert len(set(ids)) == len(ids) >= 1 and (not text or len(ids) == 4)
         for i in ids:
             assert model.decode(list(i)) == (model.decode(model.encode(text)) if text else "")
-    back = spark.createDataFrame([(1, bytes(np.array(model.encode("some text"), "<u4").tobytes())), (2, None)], "k int, ids binary")
-    assert {r.k: r.text for r in sampling.decoded(back, PATH).collect()} == {1: "some text", 2: ""}
+    back = spark.createDataFrame([(1, bytes(np.array(model.encode("some  tëxt 中"), "<u4").tobytes())), (2, None)], "k int, ids binary")
+    assert {r.k: r.text for r in sampling.decoded(back, PATH).collect()} == {1: model.decode(model.encode("some  tëxt 中")), 2: ""}
+    with pytest.raises(ValueError):
+        sampling.decoded(back.withColumn("Text", F.lit(1)), PATH)
     assert sampling.sampled(docs.limit(0), PATH).count() == 0
 
 
+def plain_log_p(pieces, text, ids):
+    """Log of the share of a segmentation, from a sum over all of them, by words."""
+    words = []
+    for c in pieces.normal(text):
+        if words and (c != "▁" or set(words[-1]) == {"▁"}):
+            words[-1] += c
+        else:
+            words.append(c)
+    by_id = {i: (len(p), w) for p, (i, w) in pieces.ids.items()}
+    log_p, at = 0.0, 0
+    for word in words:
+        back = [0.0] * (len(word) + 1)
+        for i in range(len(word) - 1, -1, -1):
+            own = [pieces.ids[word[i:j]][1] + back[j] for j in range(i + 1, len(word) + 1) if word[i:j] in pieces.ids]
+            back[i] = np.logaddexp.reduce(own if word[i] in pieces.ids else [pieces.unknown + back[i + 1], *own])
+        place = 0
+        while place < len(word):
+            if ids[at] in by_id:
+                size, w = by_id[ids[at]]
+                assert pieces.ids[word[place : place + size]][0] == ids[at]
+                at += 1
+            else:
+                size, w = 1, pieces.unknown
+                assert [pieces.bytes[b] for b in word[place].encode()] == list(ids[at : at + len(word[place].encode())])
+                at += len(word[place].encode())
+            log_p += w
+            place += size
+        log_p -= back[0]
+    assert at == len(ids)
+    return log_p
+
+
+def test_table_equals_plain_probabilities_and_decoding(spark):
+    """Every sample of the table spells its text, has the probability of a plain sum over the lattice, and decodes as the model does."""
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PATH), sampling.Pieces(PATH)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    told = {(r.doc_id, r["rank"]): r for r in sampling.op7_gumbel_top_k(spark, SF).collect()}
+    rows = sampling.sampled(docs, PATH).collect()
+    assert len(told) == sum(len(r["__samples"]) for r in rows)
+    for r in rows:
+        for rank, s in enumerate(r["__samples"]):
+            ids, got = np.frombuffer(s.ids, "<u4").tolist(), told[r["__doc"].doc_id, rank]
+            assert got.ids_crc32 == zlib.crc32(s.ids) and got.pieces == len(ids)
+            assert got.decoded_crc32 == zlib.crc32(model.decode(ids).encode())
+            if len(ids) < 2000:
+                assert abs(plain_log_p(pieces, r["__doc"].text or "", ids) - s.log_p) < 1e-6
+        values = [s.value for s in r["__samples"]]
+        assert values == sorted(values, reverse=True)
+
+
+@pytest.mark.parametrize("kept", [0, 40, 10**6])
+def test_samples_do_not_depend_on_what_a_worker_keeps(monkeypatch, kept):
+    monkeypatch.setattr(sampling, "KEPT", kept)
+    pieces = sampling.Pieces(PATH)
+    texts = ["some words of a text", "other words, of another text", "", "some words", "zu guter Letzt ein Wort"]
+    want = [sampling.sample_many(sampling.Lattice(pieces), [t], 3, [i])[0] for i, t in enumerate(texts)]
+    lattice = sampling.Lattice(pieces)
+    got = [x for i in range(0, 5, 2) for x in sampling.sample_many(lattice, texts[i : i + 2], 3, list(range(i, min(5, i + 2))))]
+    assert [[(e.tolist(), lp, g, q) for e, lp, g, q in one] for one in got] == [[(e.tolist(), lp, g, q) for e, lp, g, q in one] for one in want]
+
+
 def test_query_has_distinct_samples(spark):
     got = sampling.op7_gumbel_top_k(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
