@@ -120,6 +120,13 @@ class Pieces:
         keys = np.array([n << 21 | ord(c) for n, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        # Steps by ASCII characters from a table with a row for each node that has any; row 0 is empty.
+        near = self.keys[(self.keys & (1 << 21) - 1) < 128]
+        inner = np.unique(near >> 21)
+        self.row = np.zeros(len(piece), np.int32)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.near = np.full((len(inner) + 1) << 7, -1, np.int32)
+        self.near[self.row[near >> 21].astype(np.int64) << 7 | near & 127] = self.child[(self.keys & (1 << 21) - 1) < 128]
         self.piece, self.weight = np.array(piece, np.int64), np.array(weight)
         self.first = np.full(0x110000, -1, np.int32)
         for (n, c), to in nodes.items():
@@ -129,15 +136,23 @@ class Pieces:
     def normal(self, text: str) -> str:
         return self.model.normalize(text) if self.model else text.replace(" ", MARK)
 
-    def split(self, text: str) -> list[str]:
-        """Stretches that no piece crosses: each starts with its marks."""
-        return [text] if self.crossing and text else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
+    def split(self, text: str) -> list[str | tuple[str]]:
+        """Stretches that no piece crosses: each starts with its marks. One that starts with a mark is named without it, another as a tuple."""
+        if self.crossing:
+            return [(text,)] if text else []
+        if text.startswith(MARK) and MARK * 2 not in text and not text.endswith(MARK):
+            return text[1:].split(MARK)
+        return [w[1:] if w[0] == MARK else (w,) for w in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)]
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie's next nodes, -1 where there is none."""
-        key = node << 21 | code
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.child[at], -1)
+        out = self.near[self.row[node].astype(np.int64) << 7 | code & 127].astype(np.int64)
+        far = (code > 127).nonzero()[0]
+        if len(far):
+            key = node[far] << 21 | code[far]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[far] = np.where(self.keys[at] == key, self.child[at], -1)
+        return out
 
 
 class Lattice:
@@ -154,7 +169,7 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.root: dict[str, int] = {}
+        self.root: dict[str | tuple[str], int] = {}
         self.nodes = self.edges = 0
 
     def append(self, name: str, at: int, values: np.ndarray) -> None:
@@ -167,16 +182,16 @@ class Lattice:
             own = wider
         own[at : at + len(values)] = values
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str | tuple[str]]) -> None:
         """Adds the lattices of words it doesn't have."""
-        new = sorted(words.difference(self.root))
+        new = list(words.difference(self.root))
         if not new:
             return
-        pieces = self.pieces
-        length = np.fromiter(map(len, new), np.int64, len(new))
+        pieces, whole = self.pieces, [MARK + w if isinstance(w, str) else w[0] for w in new]
+        length = np.fromiter(map(len, whole), np.int64, len(new))
         ends = np.cumsum(length)
         self.root.update(zip(new, (self.nodes + ends - length).tolist(), strict=True))
-        code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n = len(code)
         left = np.repeat(ends, length) - np.arange(n)  # characters to the end of the word
         at, node = np.arange(n), pieces.first[code].astype(np.int64)
@@ -426,24 +441,29 @@ class Decoder:
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table, self.unknown = [], " \u2047 ".encode()
+        model, table = sentencepiece.SentencePieceProcessor(model_file=path), []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.table.append(bytes([int(piece[1:-1], 16)]))
+                table.append(bytes([int(piece[1:-1], 16)]))
             elif model.is_unknown(i):
-                self.table.append(self.unknown)
+                table.append(" \u2047 ".encode())
             else:
-                self.table.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
-
-    def text(self, ids: bytes) -> str:
-        own = np.frombuffer(ids, "<u4")
-        if not len(own):
-            return ""
-        if own.max() >= len(self.table):
-            raise ValueError(f"no piece has the id {own.max()}")
-        return b"".join(map(self.table.__getitem__, own.tolist())).decode("utf-8", "replace").removeprefix(" ")
+                table.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.start = np.cumsum(self.size) - self.size
+
+    def texts(self, coded: list[bytes]) -> list[str]:
+        """The texts of little-endian 32-bit ids, all at once."""
+        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+        if len(ids) and ids.max() >= len(self.size):
+            raise ValueError(f"no piece has the id {ids.max()}")
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        whole = self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(int(size.sum()))].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) // 4 for x in coded)])].tolist()
+        return [whole[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def decode_batches(path: str):
@@ -451,8 +471,8 @@ def decode_batches(path: str):
         import pyarrow as pa
 
         decoder = once_a_worker(f"decoder {path}", lambda: Decoder(path))
-        for batch in slices(batches):
-            texts = [decoder.text(x or b"") for x in batch.column("ids").to_pylist()]
+        for batch in slices(batches, BATCH):
+            texts = decoder.texts([x or b"" for x in batch.column("ids").to_pylist()])
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
