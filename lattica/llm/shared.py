@@ -8,9 +8,12 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-A_TO_Z = bytes(range(65, 91))
+#: Hashes whose bits are counted at a time.
+CHUNK = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +40,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be broadcast: 8 MB of longs.
+FEW = 1 << 20
+
+
+def few(keys: DataFrame, name: str) -> DataFrame:
+    """keys, staged, and to be broadcast if there are no more than `FEW` of them; else a join picks its own way."""
+    keys = staged(keys, name)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if over half of the 64-bit hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

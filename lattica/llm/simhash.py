@@ -24,11 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similar
-from .shared import as_bytes, slices, staged
+from .shared import as_bytes, few, majority, slices, staged
 
 DISTANCE, BLOCKS, RUN, BRUTE = 3, 6, 65_536, 8_192
-#: Shingles whose bits are counted at a time.
-CHUNK = 1 << 16
 
 
 def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -44,11 +42,7 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(own) - words + 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(own)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
 
 
 def fingerprint_batches(words: int, seed: int):
@@ -64,8 +58,8 @@ def fingerprint_batches(words: int, seed: int):
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """docs as a struct `__doc`, and the fingerprint `__fp` as a signed long."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__text"))
+    """docs without their text as a struct `__doc`, and the fingerprint `__fp` as a signed long."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
     return packed.mapInArrow(fingerprint_batches(words, seed), T.StructType([packed.schema["__doc"], T.StructField("__fp", T.LongType())]))
 
 
@@ -198,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, distance: int = DISTANCE) -> DataFrame:
-    """docs as `__doc`, with fingerprint (16 hex digits) and component_id (the class's smallest doc_id)."""
+    """docs without their text as `__doc`, with fingerprint (16 hex digits) and component_id (the class's smallest doc_id)."""
     rows = staged(fingerprinted(docs, text, words, seed), "simhash")
     by_fp = staged(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.col(f"__doc.`{doc_id}`")).alias("least")), "simhash-fp")
     nodes = components(links(by_fp.select("fp"), distance))
@@ -221,19 +215,20 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     classes = found.groupBy("component_id", "f").agg(F.count("*").alias("rows"), first).filter("rows > 1")
     classes = classes.select(F.col("component_id").alias("c"), F.col("f").alias("g"), "first")
     dropped = found.join(classes, F.col("component_id").eqNullSafe(F.col("c")) & F.col("f").eqNullSafe(F.col("g"))).filter("row <> first").select("row")
-    # Staged, so that Spark knows its size: documents move only where the rows to drop are too many to broadcast.
-    return ided.join(staged(dropped, "simhash-dropped"), "row", "left_anti").select("d.*")
+    # Documents move only where the rows to drop are too many to broadcast.
+    return ided.join(few(dropped, "simhash-dropped"), "row", "left_anti").select("d.*")
 
 
 def keep_one_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, seed: int = 42, similarity: float = similar.SIMILARITY) -> DataFrame:
-    """As keep_one, but rows are linked by the Jaccard similarity of their shingles, not by fingerprints."""
+    """As keep_one, but for similar texts that 64 bits can't tell: rows linked by fingerprints are verified by the Jaccard
+    similarity of their shingles, and the links that fingerprints miss are completed from the shingles themselves."""
     ided = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")), "similar-docs")
-    nodes = components(similar.links(ided.select("row", F.col(f"d.`{text}`").alias("text")), components, words, seed, similarity))
-    members = nodes.join(ided.select("row", F.col(f"d.`{doc_id}`").alias("id")), F.col("node") == F.col("row")).select("root", "id", "row")
+    nodes = components(similar.links(ided.select("row", F.col(f"d.`{text}`").alias("text")), components, links, words, seed, similarity))
+    members = ided.select("row", F.col(f"d.`{doc_id}`").alias("id")).join(few(nodes, "similar-nodes"), F.col("node") == F.col("row")).select("root", "id", "row")
     # Of each class the least doc_id (null last), and of rows that repeat it the first.
     first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("first"))
     dropped = members.join(first, "root").filter("row <> first").select("row")
-    return ided.join(staged(dropped, "similar-dropped"), "row", "left_anti").select("d.*")
+    return ided.join(few(dropped, "similar-dropped"), "row", "left_anti").select("d.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Links between texts whose word-shingle sets have a Jaccard similarity of `similarity` or more, without loss.
 
-Two sets of such similarity share at least ceil(similarity*n) shingles, n being the larger size, so
-in any one order of all shingles the first n-ceil(similarity*n)+1 of both have one in common (prefix
-filter). The order puts shingles that a sample finds often last; the sample only decides how large
-the buckets get, never which pairs meet. Candidates are verified on the sets themselves.
-
-A first round verifies one candidate a row (the row before it, by size, in most of its buckets), so
-large groups of copies hang together before any pairs are made. In the second, each bucket gives the
-pairs of rows that are in different components yet, less those ruled out by size or by parity
-sketch: bit b says whether an odd number of shingles fall on it, so two sketches differ in no more
-bits than the sets do in shingles.
+1. Census. A text of n shingles has at most n - ceil(similarity*n) that a similar one lacks. So a text
+   with more shingles than that which no other text has is alone. Shingles in the least `SHARE` of hash
+   values are counted: a task sends their sorted fingerprints, packed, to owners of hash ranges, and
+   owners answer with the number of shared ones for each row. (Fingerprints have 32 bits within their
+   owner's range; two that meet by chance can only keep a text in, never leave one out.)
+2. Fingerprints. Of the texts left, SimHash fingerprints few bits apart are linked by pigeonhole blocks.
+3. Prefixes. Two similar texts share one of the first n - ceil(similarity*n) + 1 shingles of each, in any
+   one order of all (prefix filter); rare shingles come first. Texts that share one form its bucket. Two
+   rounds of a candidate a row (its neighbour of another component) let large groups hang together before
+   any pairs are made; then each bucket gives the pairs of rows that are in different components yet, less
+   those ruled out by size or parity sketch: bit b says whether an odd number of shingles fall on it, so
+   two sketches differ in no more bits than the sets do in shingles. A bucket above `LOT` rows is dealt
+   into lots, and each pair of lots is compared by itself.
+
+All candidates, fingerprints included, are verified on the texts themselves.
 
 Rows without words have empty sets and equal each other.
 """
@@ -17,19 +22,21 @@ Rows without words have empty sets and equal each other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, slices, staged
+from .shared import as_bytes, few, majority, shuffle_partitions, slices, staged
 
 SIMILARITY, BITS = 0.8, 1024
-#: The sample that finds frequent shingles: rows at least, share at least, least count, most shingles.
-SAMPLE_ROWS, SAMPLE_SHARE, OFTEN, MOST = 10_000, 0.05, 3, 100_000
-#: Rows of a bucket that are compared with others at a time.
-STEP = 256
+#: Part of the range of hashes that the census counts, shingles that a task sends at a time, and those an owner is planned for.
+SHARE, BLOCK, OWNER = 0.3, 1 << 20, 1 << 22
+#: Rows of a bucket in a lot, and those that are compared with others at a time.
+LOT, STEP = 1 << 14, 256
+#: Place of a shingle that its own task knows to be shared.
+KNOWN = 0xFFFFFFFF
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -53,74 +60,126 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
-def sample_batches(words: int, seed: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def counted(share: float) -> int:
+    """Hashes below this are counted by the census."""
+    return int(share * 2**64)
 
-        for batch in slices(batches):
-            sets = [shingles(x, words, seed) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["token"])
 
-    return run
+CENSUS = "owner int, base long, tokens binary, low binary, high binary, rows binary, amounts binary"
+
 
+def census_batches(words: int, seed: int, similarity: float, owners: int, share: float, block: int):
+    """Rows (row, text) to messages. Of a row it tells -spare: it is alone if no more than `spare` of its counted shingles are shared."""
+    most = counted(share)
+    width = -(-most // owners)
+    shift = np.uint64(max(0, width.bit_length() - 32))
 
-def frequent(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the rows has often, sorted, and how often."""
-    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_ROWS / max(1, docs.count())))
-    some = docs.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < round(share * 1_000_000))
-    counts = some.select("text").mapInArrow(sample_batches(words, seed), "token long").groupBy("token").count()
-    got = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(MOST).collect()
-    tokens, often = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], often[order]
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
+
+        def message(owner, base, tokens=b"", low=b"", high=b"", rows=b"", amounts=b""):
+            return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x], pa.binary()) for x in (tokens, low, high, rows, amounts))], names=["owner", "base", "tokens", "low", "high", "rows", "amounts"])
+
+        def send(sets, rows, spares):
+            base, rows = min(rows), np.array(rows, np.int64)
+            token, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            order = np.argsort(token)
+            token, place = token[order], place[order]
+            again = np.concatenate([[False], token[1:] == token[:-1]]) if len(token) else np.zeros(0, bool)
+            known = again | np.concatenate([again[1:], [False]]) if len(token) else again
+            amounts = np.bincount(place[known], minlength=len(sets)) - np.array(spares)
+            yield message(turn % owners, base, rows=rows.tobytes(), amounts=amounts.astype(np.int32).tobytes())
+            at = np.where(known, KNOWN, rows[place] - base).astype(np.uint32)[~again]
+            token = token[~again]
+            to = (token // np.uint64(width)).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = ((token[a:b] - np.uint64(int(to[a]) * width)) >> shift).astype("<u4")
+                yield message(int(to[a]), base, part.tobytes(), (at[a:b] & 0xFFFF).astype("<u2").tobytes(), (at[a:b] >> 16).astype("<u2").tobytes())
+
+        sets, rows, spares, held = [], [], [], 0
+        for batch in slices(batches):
+            for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                if rows and (held >= block or not rows[0] <= row < rows[0] + KNOWN):
+                    yield from send(sets, rows, spares)
+                    sets, rows, spares, held, turn = [], [], [], 0, turn + 1
+                h = shingles(text, words, seed)
+                own = h[: np.searchsorted(h, np.uint64(most))]
+                sets.append(own)
+                rows.append(row)
+                spares.append(len(own) - prefix_size(len(h), similarity))
+                held += len(own) + 16
+        if rows:
+            yield from send(sets, rows, spares)
 
+    return run
 
-def prefix_batches(words: int, seed: int, similarity: float, tokens: np.ndarray, often: np.ndarray):
-    def prefix(h):
-        if not len(h):
-            return np.zeros(1, np.uint64)
-        if not len(tokens):
-            return h[: prefix_size(len(h), similarity)]
-        at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-        rank = np.where(tokens[at] == h, often[at], 0)
-        return h[np.argsort(rank, kind="stable")[: prefix_size(len(h), similarity)]]
 
+def census_answer(messages):
+    """An owner's messages to (row, amount): how many of its shingles other rows have too."""
+    import pyarrow as pa
+
+    tokens, rows, out = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+    for base, token, low, high, own, amounts in zip(*(messages.column(c).to_pylist() for c in ("base", "tokens", "low", "high", "rows", "amounts")), strict=True):
+        if own:
+            out.append((np.frombuffer(own, np.int64), np.frombuffer(amounts, np.int32).astype(np.int64)))
+        place = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+        tokens.append(np.frombuffer(token, "<u4"))
+        rows.append(np.where(place == KNOWN, -1, base + place))
+    token, row = np.concatenate(tokens), np.concatenate(rows)
+    order = np.argsort(token)
+    token, row = token[order], row[order]
+    again = np.concatenate([[False], token[1:] == token[:-1]]) if len(token) else np.zeros(0, bool)
+    shared = again | np.concatenate([again[1:], [False]]) if len(token) else again
+    out.append(np.unique(row[shared & (row >= 0)], return_counts=True))
+    row, amount = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"row": pa.array(row, pa.int64()), "amount": pa.array(amount, pa.int64())})
+
+
+def not_alone(docs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """The rows of docs (row, text) that the census can't tell to be alone."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A shingle for every four bytes at most, as a rule; owners only share the work, so a wrong guess does no harm.
+    owners = max(min(shuffle_partitions(spark), 64), math.ceil(SHARE * size / 4 / OWNER))
+    sent = docs.mapInArrow(census_batches(words, seed, similarity, owners, SHARE, BLOCK), CENSUS)
+    told = sent.groupBy("owner").applyInArrow(census_answer, "row long, amount long")
+    return told.groupBy("row").agg(F.sum("amount").alias("more")).where("more > 0").select("row")
+
+
+def prefix_batches(words: int, seed: int, similarity: float, share: float):
+    """Rows (row, text) to their size, sketch, fingerprint, and counted shingles, others of least hash with them where those are too few for a prefix."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
             sets = [shingles(x, words, seed) for x in as_bytes(batch.column("text"))]
-            first = [prefix(h) for h in sets]
+            first = [h[: max(int(np.searchsorted(h, np.uint64(counted(share)))), prefix_size(len(h), similarity))] if len(h) else np.zeros(1, np.uint64) for h in sets]
+            over = [len(x) - prefix_size(len(h), similarity) for x, h in zip(first, sets, strict=True)]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
             sketch = [np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(h) for h in sets], pa.int32()), pa.array(sketch, pa.binary()), lists], names=["row", "n", "sketch", "tokens"])
+            fp = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(h) for h in sets], pa.int32()), pa.array(over, pa.int32()), pa.array(fp), pa.array(sketch, pa.binary()), lists], names=["row", "n", "over", "fp", "sketch", "tokens"])
 
     return run
 
 
-def shared_batches(similarity: float):
-    """Of rows (token, row, n) sorted by token and size, those whose token another row of a size close enough has."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names, held, before = ["token", "row", "n"], None, False  # the last row so far, and whether it goes with the one before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, row, n = (batch.column(i).to_numpy() for i in range(3))
-            if held is not None:
-                token, row, n = (np.concatenate([[x], y]) for x, y in zip(held, (token, row, n), strict=True))
-            same = (np.diff(token) == 0) & (n[:-1] >= similarity * n[1:] - 1e-6)
-            kept = np.concatenate([[before], same]) | np.concatenate([same, [False]])
-            held, before, kept[-1] = (token[-1], row[-1], n[-1]), bool(same[-1]) if len(same) else before, False
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[kept]), pa.array(row[kept]), pa.array(n[kept], pa.int32())], names=names)
-        if before:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], names=names)
-
-    return run
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """Rows of prefix_batches() to (token, row, n, lots, lot): the prefix shingles that more than one row has in its prefix."""
+    every = rows.select(F.explode("tokens").alias("token"), "row", "n", "over")
+    often = staged(every.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "similar-often")
+    of_row = Window.partitionBy("row")
+    # Rare shingles first. (Rows that need shingles beyond the census' range have no others left over: `over` is 0.)
+    rank = F.row_number().over(of_row.orderBy("often", "token"))
+    met = every.join(often, "token").withColumns({"rank": rank, "shared": F.count("*").over(of_row)})
+    # Shingles that nobody shares come before all others and fill the prefix by themselves.
+    met = staged(met.where("rank <= shared - over").select("token", "row", "n"), "similar-prefixes")
+    sizes = met.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token", F.ceil(F.col("size") / LOT).cast("int").alias("lots"))
+    return staged(met.join(staged(sizes, "similar-sizes"), "token").withColumn("lot", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int")), "similar-met")
 
 
 def possible_batches(similarity: float):
@@ -137,47 +196,82 @@ def possible_batches(similarity: float):
     return run
 
 
-def pair_batches(similarity: float):
-    """Rows (token, n, row, root, sketch), sorted by token and size, to pairs (a, b) of different roots that size and sketch allow."""
+def runs(batches: Iterator, key: tuple[str, ...], rest: tuple[str, ...]) -> Iterator:
+    """Batches sorted by the key columns (whole numbers) to the other columns of each key, as Arrow arrays; the key's values first."""
+    import pyarrow as pa
+
+    last, held = None, []
+
+    def out():
+        return last, [pa.concat_arrays([h.column(c) for h in held]) for c in rest]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in key]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for x in keys:
+            new |= np.diff(x) != 0
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [batch.num_rows]]).tolist()
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(int(x[i]) for x in keys)
+            if held and now != last:
+                yield out()
+                held = []
+            last = now
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield out()
 
-    def pairs(n, row, root, sketch):
-        for at in range(0, len(n), STEP):
-            here = slice(at, at + STEP)
-            stop = int(np.searchsorted(n, n[here][-1] / similarity + 1e-6, "right"))
-            for x in range(at, min(at + STEP, len(n))):
-                most = (1 - similarity) / (1 + similarity) * (n[x] + n[x + 1 : stop]) + 1e-6
-                fits = (n[x] >= similarity * n[x + 1 : stop] - 1e-6) & (root[x] != root[x + 1 : stop])
-                y = np.flatnonzero(fits)
-                y = y[np.bitwise_count(sketch[x + 1 + y] ^ sketch[x]).sum(axis=1) <= most[y]] + x + 1
-                if len(y):
-                    yield np.minimum(row[x], row[y]), np.maximum(row[x], row[y])
+
+def mixed_batches(batches: Iterator) -> Iterator:
+    """Rows (token, lot, lots, n, row, root) sorted by token and lot: those of buckets with more than one root. A lot of several can't tell."""
+    import pyarrow as pa
+
+    names = ["lots", "n", "row", "root"]
+    for (token, lot), (lots, n, row, root) in runs(batches, ("token", "lot"), tuple(names)):
+        roots = root.to_numpy()
+        if lots[0].as_py() > 1 or (roots != roots[0]).any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), token)), pa.array(np.full(len(row), lot, np.int32)), lots, n, row, root], names=["token", "lot", *names])
+
+
+def pair_batches(similarity: float, step: int):
+    """Rows (token, a, b, lot, n, row, root, sketch), sorted by token, a, b and n, to pairs (a, b) of different roots that size and sketch allow.
+
+    Where a and b differ, only rows of different lots are compared."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(held):
-            n, row, root = (np.concatenate([h[i] for h in held]) for i in range(3))
-            sketch = np.concatenate([h[3] for h in held])
-            if len(n) < 2 or (root == root[0]).all():
-                return
-            for a, b in pairs(n, row, root, sketch):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        last, held = None, []
-        for batch in batches:
-            token, n, row, root = (batch.column(i).to_numpy() for i in range(4))
-            if not len(token):
+        for (_, a, b), (lot, n, row, root, sketch) in runs(batches, ("token", "a", "b"), ("lot", "n", "row", "root", "sketch")):
+            lot, n, row, root = lot.to_numpy(), n.to_numpy().astype(np.int64), row.to_numpy(), root.to_numpy()
+            roots, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+            if len(roots) < 2:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(token), BITS // 64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                if last is not None and token[i] != last:
-                    yield from out(held)
-                    held = []
-                last = token[i]
-                held.append((n[i:j].astype(np.int64), row[i:j], root[i:j], sketch[i:j]))
-        if held:
-            yield from out(held)
+            sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+            # Rows of the largest component are compared with the others only, not each with all.
+            others = np.flatnonzero(of != counts.argmax())
+            done = np.zeros(len(n), bool)
+            found, held = [], 0
+            for x in others:
+                from_, to = np.searchsorted(n, [similarity * n[x] - 1e-6, n[x] / similarity + 1e-6])
+                near = slice(int(from_), int(to))
+                fits = (root[near] != root[x]) & ~done[near]
+                if a != b:
+                    fits &= lot[near] != lot[x]
+                done[x] = True
+                y = np.flatnonzero(fits) + near.start
+                for i in range(0, len(y), step * 64):
+                    z = y[i : i + step * 64]
+                    z = z[np.bitwise_count(sketch[z] ^ sketch[x]).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n[x] + n[z]) + 1e-6]
+                    if len(z):
+                        found.append((np.minimum(row[x], row[z]), np.maximum(row[x], row[z])))
+                        held += len(z)
+                if held > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                    found, held = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -194,31 +288,47 @@ def verify_batches(words: int, seed: int, similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows of docs whose sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    # Staged, so that Spark knows its size: other texts move only where the ends are too many to broadcast.
-    # Texts, not sets, are joined: sets are larger and hardly compress.
-    some = docs.join(staged(ends, "similar-ends"), "row", "left_semi")
-    both = pairs.join(some.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
-    return staged(both.mapInArrow(verify_batches(words, seed, similarity), "a long, b long"), "similar-links")
-
+def links(docs: DataFrame, components: Callable, fingerprint_links: Callable, words: int = 5, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
+    """docs (row, text) to links (a, b) of rows that span every component.
 
-def links(docs: DataFrame, components, words: int = 5, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
-    """docs (row, text) to links (a, b) of rows that span every component; components(links) gives (node, root)."""
+    components(links) gives (node, root); fingerprint_links(distinct fingerprints fp) gives pairs of them (a, b)."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must lie in (0, 1]")
-    tokens, often = frequent(docs, words, seed)
-    rows = staged(docs.mapInArrow(prefix_batches(words, seed, similarity, tokens, often), "row long, n int, sketch binary, tokens array<long>"), "similar")
-    met = rows.select(F.explode("tokens").alias("token"), "row", "n").repartition("token").sortWithinPartitions("token", "n")
-    met = staged(met.mapInArrow(shared_batches(similarity), "token long, row long, n int"), "similar-met")
-    before = F.lag("row").over(Window.partitionBy("token").orderBy("n", "row"))
-    chain = met.select(F.col("row").alias("b"), before.alias("a")).where("a is not null").groupBy("a", "b").count()
-    chain = chain.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    docs = staged(docs.join(few(not_alone(docs, words, seed, similarity), "similar-rows"), "row", "left_semi"), "similar-texts")
+    rows = staged(docs.mapInArrow(prefix_batches(words, seed, similarity, SHARE), "row long, n int, over int, fp long, sketch binary, tokens array<long>"), "similar")
     known = rows.select("row", "n", "sketch")
-    chain = chain.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").mapInArrow(possible_batches(similarity), "a long, b long")
-    first = verified(staged(chain, "similar-chain"), docs, words, seed, similarity)
-    rooted = known.join(components(first), F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root"), "sketch")
-    buckets = met.join(rooted, "row").select("token", "n", "row", "root", "sketch").repartition("token").sortWithinPartitions("token", "n")
-    pairs = staged(buckets.mapInArrow(pair_batches(similarity), "a long, b long").distinct(), "similar-pairs")
-    return first.unionByName(verified(pairs, docs, words, seed, similarity))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; texts are joined, since sets are larger and hardly compress."""
+        both = pairs.join(docs.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(docs.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+        return staged(both.mapInArrow(verify_batches(words, seed, similarity), "a long, b long"), "similar-links")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").mapInArrow(possible_batches(similarity), "a long, b long"), "similar-pairs")
+
+    by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("least")), "similar-fp")
+    equal = rows.join(by_fp, "fp").where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    close = fingerprint_links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a")
+    close = close.join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    found = verified(possible(equal.union(close.distinct())))
+
+    met = buckets_of(rows)
+    for order in (["n", "row"], [F.xxhash64("row", "token")]):
+        bucket = Window.partitionBy("token", "lot").orderBy(*order)
+        rooted = with_roots(met, components(found))
+        beside = rooted.select("row", "root", F.lag("row").over(bucket).alias("other"), F.lag("root").over(bucket).alias("its")).where("its <> root")
+        beside = beside.groupBy("row", "other").count().groupBy("row").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+        beside = beside.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+        found = staged(found.unionByName(verified(possible(beside))), "similar-found")
+
+    mixed = with_roots(met, components(found)).select("token", "lot", "lots", "n", "row", "root").repartition("token", "lot").sortWithinPartitions("token", "lot")
+    mixed = mixed.mapInArrow(mixed_batches, "token long, lot int, lots int, n int, row long, root long").join(known.select("row", "sketch"), "row")
+    facing = F.explode(F.expr("transform(sequence(0, lots - 1), i -> struct(least(i, lot) as a, greatest(i, lot) as b))"))
+    mixed = mixed.select("token", facing.alias("f"), "lot", "n", "row", "root", "sketch").select("token", "f.a", "f.b", "lot", "n", "row", "root", "sketch")
+    mixed = mixed.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n")
+    pairs = staged(mixed.mapInArrow(pair_batches(similarity, STEP), "a long, b long").distinct(), "similar-pairs")
+    return found.unionByName(verified(pairs))
+
+
+def with_roots(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    return met.join(nodes, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")

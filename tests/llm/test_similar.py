@@ -44,11 +44,11 @@ def test_table_equals_all_pairs(spark):
     assert kept(spark, texts) == sorted(set(plain_classes(texts).values()))
 
 
-@pytest.mark.parametrize("step,often", [(256, 4), (3, 1), (256, 10**9)])
-def test_planted_copies_are_found(spark, monkeypatch, step, often):
+@pytest.mark.parametrize("lot,share,block", [(1 << 14, 0.3, 1 << 20), (3, 0.3, 2000), (7, 0.05, 500), (1 << 14, 0.9, 1 << 20)])
+def test_planted_copies_are_found(spark, monkeypatch, lot, share, block):
     """Copies of similarity 0.8 to 0.95, around one base and in chains, among texts with common passages."""
-    monkeypatch.setattr(similar, "STEP", step)
-    monkeypatch.setattr(similar, "OFTEN", often)
+    for name, value in (("LOT", lot), ("SHARE", share), ("BLOCK", block)):
+        monkeypatch.setattr(similar, name, value)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(30))
     texts, planted = {}, 0
@@ -86,5 +86,16 @@ def test_runs_over_batches(parts):
 
     tokens = np.array([1, 2, 2, 2, 3, 4, 4, 4])
     at = np.cumsum([0, *parts])
-    batches = [pa.RecordBatch.from_arrays([pa.array(tokens[a:b]), pa.array(np.arange(a, b)), pa.array(np.where(np.arange(a, b) < 6, 9, 99), pa.int32())], names=["token", "row", "n"]) for a, b in zip(at, at[1:], strict=False)]
-    assert [x for b in similar.shared_batches(0.8)(iter(batches)) for x in b.column(1).to_pylist()] == [1, 2, 3, 6, 7]
+    batches = [pa.RecordBatch.from_arrays([pa.array(tokens[a:b]), pa.array(np.arange(a, b))], names=["token", "row"]) for a, b in zip(at, at[1:], strict=False)]
+    got = [(key, [v for c in rest for v in c.to_pylist()]) for key, rest in similar.runs(iter(batches), ("token",), ("row",))]
+    assert got == [((1,), [0]), ((2,), [1, 2, 3]), ((3,), [4]), ((4,), [5, 6, 7])]
+
+
+def test_census_leaves_nothing_out(spark):
+    """Whoever has a similar text stays; most texts that share little are left out."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    classes = plain_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "row long, text string").repartition(3)
+    kept = {r.row for r in similar.not_alone(docs, 5, 42, 0.8).collect()}
+    grouped = {i for i in texts if sum(c == classes[i] for c in classes.values()) > 1}
+    assert grouped <= kept and len(kept) < len(texts) / 2
