@@ -1,7 +1,7 @@
 import random
 import zlib
 from base64 import b32encode
-from hashlib import sha1
+from hashlib import md5, sha1, sha256
 
 import pytest
 
@@ -50,7 +50,8 @@ def records(n=6):
 
 def covered(data):
     parts = list(warc.salvage(data))
-    assert [p[1] for p in parts] == [0, *[p[2] for p in parts]][: len(parts)] and (not parts or parts[-1][2] == len(data))
+    bounds = list(dict.fromkeys((p[1], p[2]) for p in parts))  # records of a member share its bounds
+    assert [a for a, _ in bounds] == [0, *[b for _, b in bounds]][: len(bounds)] and (not parts or bounds[-1][1] == len(data))
     return [p[3]["id"] for p in parts if p[0] == "record"], [p for p in parts if p[0] == "gap"]
 
 
@@ -84,6 +85,55 @@ def test_lengths_that_lie_do_not_swallow_later_records():
         assert got == ["<urn:page:2>"] and len(gaps) == 1
 
 
+def test_members_of_several_records_and_other_digests():
+    one, two, three = records()[1:4]
+    body = b"x" * 300
+    for told in ("sha256:" + sha256(body).hexdigest(), "sha-256:" + b32encode(sha256(body).digest()).decode(), "md5:" + md5(body).hexdigest(), "sha1:" + sha1(body).hexdigest(), "blake9:whatever"):
+        four = warc.record(9, b"u", body, digest(body)).replace(b"sha1:" + digest(body).encode(), told.encode())
+        assert covered(warc.member(one + two) + warc.member(four) + three) == (["<urn:page:1>", "<urn:page:2>", "<urn:page:9>", "<urn:page:3>"], [])
+    wrong = warc.record(9, b"u", body, digest(body)).replace(b"sha1:" + digest(body).encode(), b"sha256:" + sha256(b"y").hexdigest().encode())
+    assert covered(wrong + three)[0] == ["<urn:page:3>"]
+    assert len(covered(one.replace(b"Content-Length: ", b"Content-Length: " + b"9" * 6000, 2) + three)[1]) == 1
+
+
+def test_time_grows_with_the_file(monkeypatch):
+    """Bytes given to the unpacker and looked through for ends of headers, for files of n and 4n records."""
+    looked = []
+    rng = random.Random(1)
+    bodies = [rng.randbytes(5000) for _ in range(400)]
+    every = [warc.member(warc.record(i, b"u", b, digest(b))) for i, b in enumerate(bodies)]
+    plain = [warc.record(i, b"u", b, digest(b)) for i, b in enumerate(bodies)]
+    broken = [r.replace(b"\r\n\r\n", b"\r\n..") for r in plain]  # version lines without any end of a header after them
+    real = zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.own = real(bits)
+
+        def decompress(self, data):
+            looked.append(len(data))
+            return self.own.decompress(data)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    class Text(bytes):
+        def find(self, mark, at=0):
+            got = bytes.find(self, mark, at)
+            looked.append((got if got >= 0 else len(self)) - at)
+            return got
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    for parts in (every, plain, broken):
+        spent = []
+        for n in (100, 400):
+            looked.clear()
+            found = [p for p in warc.salvage(Text(b"".join(parts[:n]))) if p[0] == "record"]
+            assert len(found) == (0 if parts is broken else n)
+            spent.append(sum(looked))
+        assert spent[1] < 5 * spent[0]
+
+
 def test_base32(spark):
     df = spark.createDataFrame([(bytes([i]) * i,) for i in range(20)], "b binary")
     assert all(r[1] == digest(bytes(r[0])) for r in df.select("b", warc.base32_sha1(df.b)).collect())
