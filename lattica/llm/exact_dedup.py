@@ -1,7 +1,7 @@
 """Op 2: exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. The rows are written once to a table bucketed by block (the task that wrote them), with a 64-bit
-   fingerprint and SHA-256 of the normalised text.
+1. The rows are written once to a table in the shared folder, bucketed by block (the task that wrote
+   them), with a 64-bit fingerprint and SHA-256 of the normalised text.
 2. Each block sends every owner (a range of fingerprints) its sorted distinct fingerprints as
    Golomb-Rice coded gaps: about log2(gap)+1.5 bits each, and one each however often it repeats.
 3. Owners answer each block with a bitmap: which of those fingerprints another block has too.
@@ -9,23 +9,23 @@
    and grouped by their bytes, combined before the shuffle.
 
 Defined cases: null text is empty; A-Z only are lower-cased; of equal texts the largest doc_id stays
-(null counts as the least; among rows equal in that too, the first as written); other columns pass
-through; an empty table gives an empty result.
+(null counts as the least; among rows equal in that too, the first as written); texts are read whole,
+however long; other columns pass through, and one with the name of a result raises (`added` gives the
+results other names; keep_one() takes free ones); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, shuffle_partitions, slices, staged
+from .shared import as_bytes, free_name, shuffle_partitions, slices, staged, staged_table
 
-ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 #: Fingerprints that an owner is planned for.
 OWNER_ROWS = 2_000_000
 
@@ -124,10 +124,12 @@ def receive(rows, bitmaps):
     return pd.DataFrame({"__block": rows["__block"].iloc[:1], "__bits": [np.packbits(by_pos).tobytes()]})
 
 
-def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256. Columns of these names are replaced."""
+def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", added: Sequence[str] = ADDED) -> DataFrame:
+    """docs with four more columns, called `added`: the id that stays, the group's size, whether the row stays, and the SHA-256."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ADDED]
+    names = docs.columns
+    if clash := {c.lower() for c in names} & {c.lower() for c in added}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     of = lambda name: F.col(f"__doc.`{name}`")
     parts = shuffle_partitions(spark)
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -135,9 +137,7 @@ def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     kind = T.StructType([packed.schema["__doc"], T.StructField("__row", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__sha", T.StringType())])
     rows = packed.mapInArrow(fingerprints, kind)
     rows = rows.withColumns({"__block": F.shiftright("__row", 33).cast("int"), "__pos": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")}).drop("__row")
-    table = f"exact_dedup_{uuid.uuid4().hex}"
-    rows.write.format("parquet").bucketBy(parts, "__block").saveAsTable(table)
-    rows = spark.table(table)
+    rows = staged_table(rows, "exact_dedup", parts, "__block")
     owners = max(parts, rows.count() // OWNER_ROWS)
 
     own = rows.select("__block", "__pos", "__fp")
@@ -154,14 +154,15 @@ def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = texts.mapInArrow(lowered, f"__sha string, __id {id_type}, __bytes binary")
     groups = texts.groupBy("__sha", "__bytes").agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1").drop("__bytes")
     groups = staged(groups, "dedup-groups")
-    thin = rows.select("__block", "__pos", "__sha", of(doc_id).alias("__id"))
+    thin = flagged(rows.select("__block", "__pos", "__sha", of(doc_id).alias("__id"))).filter("__suspect")
     first = thin.join(groups.withColumnRenamed("__sha", "__g"), F.col("__sha").eqNullSafe(F.col("__g")) & F.col("__id").eqNullSafe(F.col("keep_id")))
     first = first.groupBy("__g").agg(F.min(F.struct("__block", "__pos")).alias("__first")).withColumnRenamed("__g", "__sha")
     groups = groups.join(first, "__sha")
 
     # Rows that nobody shares go past the join, so no null key gathers them.
     marked = flagged(rows)
-    order = [*[of(c).alias(c) for c in names], "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("__sha").alias("text_sha256")]
+    results = (F.col("keep_id"), F.col("group_size").cast("long"), F.col("kept"), F.col("__sha"))
+    order = [*[of(c).alias(c) for c in names], *[x.alias(c) for x, c in zip(results, added, strict=True)]]
     alone = marked.filter("not __suspect").withColumns({"keep_id": of(doc_id), "group_size": F.lit(1), "kept": F.lit(True)})
     # A block asks once for each of its texts, so a hot text has a row for each block here, not for each copy.
     asked = flagged(rows.select("__block", "__pos", "__sha")).filter("__suspect").select("__block", "__sha").distinct()
@@ -174,7 +175,8 @@ def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without rows whose text a kept row has; the columns of docs."""
-    return mark_duplicates(docs, text, doc_id).filter("kept").select(*docs.columns)
+    added = [free_name(docs.columns, c) for c in ADDED]
+    return mark_duplicates(docs, text, doc_id, added).filter(F.col(added[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_golomb_exchange(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +33,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: it is computed once and needs no executor's disk."""
+#: Paths and tables written by staged() and staged_table() in this process.
+WRITTEN: list[tuple[str, str | None]] = []
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: it is computed once and needs no executor's disk. temporary() leaves it if `keep`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        WRITTEN.append((path, None))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_table(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a column, so that joins on it move no rows."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    WRITTEN.append((path, table))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Drops, at its end, what was staged since its beginning. Results that read it must be written by then."""
+    before = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for path, table in WRITTEN[before:]:
+            if table:
+                spark.sql(f"drop table if exists {table}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del WRITTEN[before:]
+
+
 #: Rows of keys that may be broadcast: 8 MB of longs.
 FEW = 1 << 20
 

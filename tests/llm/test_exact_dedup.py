@@ -2,10 +2,12 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
 
 from lattica.llm import exact_dedup as ed
+from lattica.llm import shared
 
 
 @settings(max_examples=60, deadline=None)
@@ -31,7 +33,9 @@ def test_groups_equal_brute_force(spark):
     texts = [None, "", "A b", "a B", "É x", "é x", "long " * 20000] + [f"t{rng.integers(0, 40)}" for _ in range(300)] + ["hot"] * 150
     rows = [(int(i), t, f"e{i}", True) for i, t in enumerate(texts)] + [(5, "hot", "dup", False), (459, "hot", "same", True), (459, "hot", "same", True), (None, "hot", "n", True), (None, "only null", "n", True), (None, "only null", "m", True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, kept boolean").repartition(7)
-    got = ed.mark_duplicates(docs).collect()
+    with pytest.raises(ValueError):
+        ed.mark_duplicates(docs)
+    got = ed.mark_duplicates(docs.withColumnRenamed("kept", "mine")).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[low(r[1])].append(r[0])
@@ -47,7 +51,27 @@ def test_groups_equal_brute_force(spark):
     assert set(alive.values()) == {1}
     kept = ed.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert ed.mark_duplicates(docs.limit(0)).count() == 0
+    assert ed.mark_duplicates(docs.limit(0).drop("kept")).count() == 0
+
+
+def test_columns_of_users_keep_their_values(spark):
+    """Names of the results, in any case, are no names of keep_one()'s."""
+    rows = [(i, f"t{i % 3}", f"k{i}", -i, i % 2 == 0, f"s{i}", f"d{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, Group_Size long, kept boolean, text_sha256 string, __doc string")
+    assert sorted(map(tuple, ed.keep_one(docs).collect())) == rows[6:]
+
+
+def test_staged_tables_go_with_temporary(spark):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+    folder = Path(shared.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with shared.temporary(spark):
+        assert ed.keep_one(docs).count() == 1
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("exact_dedup_") and t.name in {p.name for p in folder.iterdir()} - {p.name for p in before}]
 
 
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
