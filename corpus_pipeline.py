@@ -2,12 +2,14 @@
 
 quality   drops documents that the additive model scores below one half
 exact     drops documents whose text a kept document has (A-Z lower-cased)
-near      keeps one document of each class linked by a Jaccard similarity of 0.8 or more (five-word shingles)
+near      keeps one document of each class linked by a Jaccard similarity of 0.8 or more (five-word shingles):
+          SimHash fingerprints and pigeonhole blocks first, then the links that 64 bits can't tell
 private   puts kinds in the place of personal data
 packed    packs what is left into token windows: a row for each piece
 
-Null texts count as empty; repeated rows are exact copies; other columns pass through until the last
-stage; an empty table passes through every stage.
+Null texts count as empty; texts are read whole, however long; repeated rows are exact copies; of equal
+or similar documents the largest (exact) or smallest (near) doc_id stays; other columns pass through with
+their values until the last stage, whatever their names; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import exact_dedup, packing, pii, quality, simhash
-from lattica.llm.shared import staged
+from lattica.llm.shared import staged, temporary
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What a stage stages for itself goes when its result is written.
+        with temporary(spark):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
