@@ -5,16 +5,22 @@ further kinds that the method may add: local (a telephone number without +), idn
 four digits) and masked (an address with its at and dot spelt out). Five labelers vote on each:
 shape and edge (regex), gazetteer (dialling codes, domains, card issuers, address ranges) and two of
 context (words before the span that speak for or against). Expectation-maximisation estimates each
-labeler's reliability and every vote pattern's posterior; a logistic span classifier is trained on
-those and decides over the added kinds.
+labeler's reliability and every vote pattern's posterior. Those train a logistic span classifier that
+sees, beside the votes, what no labeler looks at: the span's length, how much of it is digits, and the
+kinds of characters on its left and right. It decides over all candidates; base spans stay in any case.
 
-All candidates of the corpus are counted, by pattern: at most KINDS x 3^5 x 4 rows (6,804) reach the
-driver, whatever the input. Rows are never shuffled; texts are read twice, to fit and to annotate.
+All candidates of the corpus are counted, by pattern: the rows that reach the driver are at most the
+product of the features' values (KINDS x 3^5 x 4 x 3 x 4 x 4), whatever the input. Rows are never
+shuffled; texts are read twice, to fit and to annotate.
 
 Defined cases: null text is empty and has no spans; repeated rows get equal spans; other columns pass
 through; an empty table gives an empty result; positions are code points, end exclusive; spans of
-different kinds may overlap. The patterns are written so that time is linear in the text: a start
-inside a run is skipped unless the last match ended there, and repeats don't give back.
+different kinds may overlap; spans that tie in start and end go by kind. The patterns are written so that
+time is linear in the text: a start inside a run is skipped unless the last match ended there, and repeats
+don't give back. Running sums start anew in each block of `BLOCK` spans, and parts are cut from pieces of
+`PIECE` code points, since a substring is counted off from the start; so texts with very many spans take
+time nearly in proportion, too. Columns of docs stay inside `__doc`
+(redacted: as they are), whatever their names; only `text` may not be called otherwise than said.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local": r"(?<![0-9+().-])(?<![0-9+().-]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
     "idnum": r"(?<![0-9+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![.-]?[0-9])",
-    "masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)++",
 }
 #: A text without any of these has no span of the kind.
 NEEDS = {"email": ("@",), "phone": ("+",), "masked": ("at]", "at)")}
@@ -47,6 +53,8 @@ FOR = "mail|e-mail|email|correo|courriel|contact|kontakt|phone|telephone|tel|tel
 AGAINST = "version|release|isbn|issn|doi|figure|fig|table|section|chapter|page|pages|order|invoice|part|serial|article|equation|build"
 #: Code points before a span that count as its context.
 NEAR = 24
+#: Numbers that are summed up by themselves, and code points of a piece of text.
+BLOCK, PIECE = 128, 4096
 
 
 def hits_of(text: Column, kind: str) -> Column:
@@ -89,11 +97,46 @@ VOTES = {
     "speaks_for": f"if(lower(x.before) rlike '(^|[^a-z])({FOR})([^a-z]|$)', 1, 2)",
     "speaks_against": f"if(lower(x.before) rlike '(^|[^a-z])({AGAINST})([^a-z]|$)', 0, 2)",
 }
-LENGTH_BIN = "case when length(x.hit) < 9 then 0 when length(x.hit) < 15 then 1 when length(x.hit) < 21 then 2 else 3 end"
+#: What the classifier sees of a span itself: length, digits, and what stands on its left and right.
+OWN = {
+    "size": "case when length(x.hit) < 9 then 0 when length(x.hit) < 15 then 1 when length(x.hit) < 21 then 2 else 3 end",
+    "share": "case when x.digits = '' then 0 when 2 * length(x.digits) < length(x.hit) then 1 else 2 end",
+    "left": "case when x.before = '' then 0 when x.before rlike '\\\\s$' then 1 when x.before rlike '[A-Za-z0-9]$' then 2 else 3 end",
+    "right": "case when x.after = '' then 0 when x.after rlike '^\\\\s' then 1 when x.after rlike '^[A-Za-z0-9]' then 2 else 3 end",
+}
+FEATURES = ("kind", *OWN, *LABELERS)
+
+
+def bound(name: str, value: str, result: str) -> str:
+    """SQL: result, with value, made once, under a name. (A column named inside a lambda might be made anew at each step.)"""
+    return f"transform(array({value}), {name} -> {result})[0]"
+
+
+def before_each(values: str, op: str) -> str:
+    """SQL: for each of an array of ints what op(a, v) makes of 0 and all ints before it.
+
+    An aggregate copies its state at each step, so the state is one int, and it starts anew in each block of `BLOCK`."""
+    fold = lambda array, start: f"aggregate({array}, {start}, (a, v) -> {op})"
+    inside = bound("start", fold("slice(folds, 1, j)", "0"), f"transform(block, (v, i) -> {fold('slice(block, 1, i)', 'start')})")
+    blocks = f"transform(sequence(0, (size(all) - 1) div {BLOCK}), j -> slice(all, j * {BLOCK} + 1, {BLOCK}))"
+    each = bound("blocks", blocks, bound("folds", f"transform(blocks, block -> {fold('block', '0')})", f"flatten(transform(blocks, (block, j) -> {inside}))"))
+    return bound("all", values, each)
+
+
+def part(pieces: str, start: str, end: str | None) -> str:
+    """SQL: code points from start to end (null: all) of a text cut into pieces of PIECE."""
+    first = f"cast(({start}) div {PIECE} as int)"
+    head = f"coalesce(substring(get({pieces}, {first}), ({start}) % {PIECE} + 1), '')"
+    if end is None:
+        return f"concat({head}, concat_ws('', slice({pieces}, {first} + 2, greatest(0, size({pieces}) - {first} - 1))))"
+    last = f"cast(({end}) div {PIECE} as int)"
+    one = f"coalesce(substring(get({pieces}, {first}), ({start}) % {PIECE} + 1, ({end}) - ({start})), '')"
+    tail = f"coalesce(substring(get({pieces}, {last}), 1, ({end}) % {PIECE}), '')"
+    return f"if({first} = {last}, {one}, concat({head}, concat_ws('', slice({pieces}, {first} + 2, greatest(0, {last} - {first} - 1))), {tail}))"
 
 
 def candidates(docs: DataFrame, text: str) -> DataFrame:
-    """docs as `__doc` with `__spans`: structs of start, kind, end, five votes and a length bin."""
+    """docs as `__doc` with `__spans`: structs of start, kind, end, five votes and four features."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     rows = rows.withColumns({f"__h{k}": hits_of(F.col("__text"), kind) for k, kind in enumerate(KINDS)})
     for k, kind in enumerate(KINDS):
@@ -101,12 +144,13 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
         some, n = F.size(f"__h{k}") > 0, f"size(__h{k})"
         pairs = f"zip_with(__h{k}, slice(__p{k}, 1, {n}), (h, b) -> struct(h as hit, b as piece))"
         found = f"zip_with({pairs}, slice(__p{k}, 2, {n}), (x, a) -> struct(cast({k} as int) as kind, x.hit as hit, regexp_replace(x.hit, '[^0-9]', '') as digits, length(x.piece) as gap, substring(x.piece, -{NEAR}, {NEAR}) as before, substring(a, 1, 1) as after))"
-        ends = f"aggregate(__f{k}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x.gap + length(x.hit)))"
-        placed = f"zip_with(__f{k}, slice(__e{k}, 2, {n}), (x, e) -> struct(x.kind as kind, x.hit as hit, x.digits as digits, x.before as before, x.after as after, e as to))"
+        starts = before_each(f"transform(__f{k}, x -> x.gap + length(x.hit))", "a + v")
+        placed = f"zip_with(__f{k}, __e{k}, (x, e) -> struct(x.kind as kind, x.hit as hit, x.digits as digits, x.before as before, x.after as after, e + x.gap + length(x.hit) as to))"
         votes = ", ".join(f"cast({VOTES[v]} as int) as {v}" for v in LABELERS)
-        told = f"transform(filter({placed}, x -> {VALID[kind]}), x -> struct(cast(x.to - length(x.hit) as int) as start, x.kind as kind, cast(x.to as int) as end, {votes}, cast({LENGTH_BIN} as int) as size))"
+        own = ", ".join(f"cast({x} as int) as {name}" for name, x in OWN.items())
+        told = f"transform(filter({placed}, x -> {VALID[kind]}), x -> struct(cast(x.to - length(x.hit) as int) as start, x.kind as kind, cast(x.to as int) as end, {votes}, {own}))"
         rows = rows.withColumn(f"__p{k}", F.when(some, F.split("__text", PATTERNS[kind], -1)))
-        rows = rows.withColumn(f"__f{k}", F.when(some, F.expr(found))).withColumn(f"__e{k}", F.when(some, F.expr(ends)))
+        rows = rows.withColumn(f"__f{k}", F.when(some, F.expr(found))).withColumn(f"__e{k}", F.when(some, F.expr(starts)))
         rows = rows.withColumn(f"__s{k}", F.when(some, F.expr(told)))
     kept = [F.col(f"__s{k}") for k in range(len(KINDS))]
     rows = rows.withColumn("__spans", F.array_sort(F.flatten(F.filter(F.array(*kept), lambda a: a.isNotNull()))))
@@ -125,7 +169,7 @@ class Model:
     def logit(self) -> Column:
         """The classifier over a span struct `x`, as a SQL expression."""
         cases = []
-        for name in ("kind", "size", *LABELERS):
+        for name in FEATURES:
             own = {v: w for (n, v), w in self.weights.items() if n == name}
             if own:
                 cases.append(f"case x.{name} " + " ".join(f"when {v} then {w!r}D" for v, w in sorted(own.items())) + " else 0D end")
@@ -159,11 +203,11 @@ def learn(patterns: list[tuple[dict, int]], rounds: int = 50, steps: int = 200,
         prior = min(0.99, max(0.01, prior))
     weights, bias = {}, 0.0
     for p, _ in patterns:
-        weights |= {(k, p[k]): 0.0 for k in ("kind", "size", *LABELERS) if not (k in LABELERS and p[k] == 2)}
+        weights |= {(k, p[k]): 0.0 for k in FEATURES if not (k in LABELERS and p[k] == 2)}
     for _ in range(steps if total else 0):
         slope, slope0 = dict.fromkeys(weights, 0.0), 0.0
         for q, (p, n) in zip(after, patterns, strict=True):
-            own = [k for k in ((name, p[name]) for name in ("kind", "size", *LABELERS)) if k in weights]
+            own = [k for k in ((name, p[name]) for name in FEATURES) if k in weights]
             e = (q - sigmoid(bias + sum(weights[k] for k in own))) * n / total
             slope0 += e
             for k in own:
@@ -174,7 +218,7 @@ def learn(patterns: list[tuple[dict, int]], rounds: int = 50, steps: int = 200,
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    names = ["kind", "size", *LABELERS]
+    names = list(FEATURES)
     spans = candidates(docs, text).select(F.explode("__spans").alias("x")).select(*[f"x.{n}" for n in names])
     counts = spans.groupBy(*names).agg(F.count("*").alias("n")).collect()
     return learn(sorted((({n: r[n] for n in names}, r["n"]) for r in counts), key=lambda x: sorted(x[0].items())))
@@ -191,9 +235,10 @@ def redacted(docs: DataFrame, text: str = "text", model: Model | None = None) ->
     """docs with spans replaced by their kind in angle brackets; overlapping spans by that of the first."""
     found = annotate(docs, model or fit(docs, text), text)
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
-    parts = f"""aggregate(__spans, struct(0 as at, cast(array() as array<string>) as parts), (a, s) ->
-        if(s.end <= a.at, a, struct(s.end as at, if(s.start >= a.at, concat(a.parts, array(substring(__text, a.at + 1, s.start - a.at), {names}[s.kind])), a.parts) as parts)),
-        a -> concat(concat_ws('', a.parts), substring(__text, a.at + 1)))"""
+    reached = before_each("transform(__spans, x -> x.end)", "greatest(a, v)")
+    told = f"if(x.start >= e, concat({part('pieces', 'e', 'x.start')}, {names}[x.kind]), '')"
+    rest = part("pieces", "array_max(transform(spans, x -> x.end))", None)
+    parts = bound("pieces", f"regexp_extract_all(__text, '(?s).{{1,{PIECE}}}', 0)", bound("spans", "__spans", f"concat(concat_ws('', zip_with(spans, {reached.replace('__spans', 'spans')}, (x, e) -> {told})), {rest})"))
     clean = F.when(F.size("__spans") == 0, F.col(f"__doc.`{text}`")).otherwise(F.expr(parts))
     return found.select(*[clean.alias(c) if c == text else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
