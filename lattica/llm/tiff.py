@@ -2,15 +2,20 @@
 
 The reader walks the chain of image directories, decodes strips or tiles (no compression, PackBits,
 LZW, deflate), undoes horizontal prediction, and emits a row for each page with its samples. The
-writer makes multi-page grey images with the same codings, one page held at a time.
+writer makes multi-page grey images with the same codings, one page held at a time; which coding, strips
+or tiles, and prediction a page of the query gets is decided by its own bytes, so all of them occur.
 
 Defined cases: a null or empty image has no pages; a damaged one gives one row with page -1 and an
-error; directories that repeat (a loop) end the walk with an error; repeated rows are read each;
-other columns pass through in a struct; an empty table gives an empty result.
+error after the pages before the damage; directories that repeat (a loop) end the walk with an error, and
+so do other predictors and pages above `LARGEST` bytes of samples (a parameter; decoding never makes more
+than a page's own size); very long texts become images of many pages; repeated rows are read each, equal
+ones alike; there are no ties; other columns pass through in a struct, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,52 +34,57 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 #: Samples in a row of the images made of texts, and rows of a page.
 ROW, PAGE_ROWS = 64, 4096
+#: Bytes of samples that a page may have.
+LARGEST = 1 << 30
+RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
+def unpack_bits(data: bytes, most: int) -> bytes:
+    """At most so many bytes; each header byte tells of bytes as they are or of one that repeats."""
+    out, at, made = [], 0, 0
+    while at < len(data) and made < most:
         n = data[at]
         if n < 128:
-            out += data[at + 1 : at + 2 + n]
+            out.append(data[at + 1 : at + 2 + n])
             at += 2 + n
+            made += n + 1
         elif n > 128:
-            out += data[at + 1 : at + 2] * (257 - n)
+            out.append(data[at + 1 : at + 2] * (257 - n))
             at += 2
+            made += 257 - n
         else:
             at += 1
-    return bytes(out)
+    return b"".join(out)[:most]
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes([257 - run, data[at]])
-            at += run
-            continue
-        end = at + 1
-        while end < len(data) and end - at < 128 and data[end : end + 1] * 3 != data[end : end + 3]:
-            end += 1
-        out += bytes([end - at - 1]) + data[at:end]
-        at = end
-    return bytes(out)
+    """Bytes that repeat three times or more become runs, those between them go as they are."""
+    out, at = [], 0
+
+    def plain(end):
+        for i in range(at, end, 128):
+            part = data[i : min(end, i + 128)]
+            out.append(bytes([len(part) - 1]) + part)
+
+    for run in RUNS.finditer(data):
+        plain(run.start())
+        at = run.end()
+        out.append(bytes([257 - at + run.start(), data[at - 1]]))
+    plain(len(data))
+    return b"".join(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant first, that widen one code early; 256 clears, 257 ends."""
+def unlzw(data: bytes, most: int) -> bytes:
+    """At most so many bytes. Codes of 9 to 12 bits, most significant first, that widen one code early; 256 clears, 257 ends."""
     start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, bits, held, last, out = list(start), 9, 0, 0, None, []
+    table, width, bits, held, last, out, made = list(start), 9, 0, 0, None, [], 0
     for byte in data:
         bits, held = bits << 8 | byte, held + 8
         if held < width:
             continue
         held -= width
         code, bits = bits >> held, bits & (1 << held) - 1
-        if code == 257:
+        if code == 257 or made >= most:
             break
         if code == 256:
             table, width, last = list(start), 9, None
@@ -90,53 +100,57 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(word)
+        made += len(word)
         last = word
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
-    return b"".join(out)
+    return b"".join(out)[:most]
+
+
+SINGLES = {bytes([i]): i for i in range(256)}
 
 
 def lzw(data: bytes) -> bytes:
-    bits, held, out = 0, 0, bytearray()
-
-    def put(code, width):
-        nonlocal bits, held
-        bits, held = bits << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held)
-            bits &= (1 << held) - 1
-
-    table, width, word = {bytes([i]): i for i in range(256)}, 9, b""
-    free = 258
-    put(256, width)
-    for i in range(len(data)):
-        more = word + data[i : i + 1]
-        if more in table:
-            word = more
-            continue
-        put(table[word], width)
-        table[more] = free
-        free += 1
-        if free == 4094:
-            put(256, 12)
-            table, width, free = {bytes([i]): i for i in range(256)}, 9, 258
-        elif free >= (1 << width) and width < 12:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word], width)
+    """Words grow byte by byte while the table has them; the table starts anew when it is full."""
+    codes, widths = [256], [9]
+    at, n = 0, len(data)
+    table, width, free = dict(SINGLES), 9, 258
+    while at < n:
+        end = at + 1
+        word = code = None
+        while end <= n:
+            more = data[at:end]
+            known = table.get(more)
+            if known is None:
+                break
+            word, code, end = more, known, end + 1
+        codes.append(code)
+        widths.append(width)
+        at += len(word)
+        if at < n:
+            table[more] = free
         free += 1
-        if free >= (1 << width) and width < 12:
+        if free == 4094 and at < n:
+            codes.append(256)
+            widths.append(12)
+            table, width, free = dict(SINGLES), 9, 258
+        elif free >= 1 << width and width < 12:
             width += 1
-    put(257, width)
-    if held:
-        put(0, 8 - held)
-    return bytes(out)
+    codes.append(257)
+    widths.append(width)
+    # Codes to bits, all at once: bit j of a code of w bits stands w-1-j places after its start.
+    code, wide = np.array(codes, np.int64), np.array(widths, np.int64)
+    ends = np.cumsum(wide)
+    shift = np.repeat(ends, wide) - np.arange(int(ends[-1])) - 1
+    return np.packbits((np.repeat(code, wide) >> shift & 1).astype(np.uint8)).tobytes()
+
+
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
 
 
 CODERS = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1)}
-DECODERS = {NONE: bytes, PACKBITS: unpack_bits, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+DECODERS = {NONE: lambda x, most: x[:most], PACKBITS: unpack_bits, LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
 def directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
@@ -166,15 +180,22 @@ def page_samples(data: bytes, f: dict[int, list[int]], order: str) -> np.ndarray
     tiled = TILE_OFFSETS in f
     across, down = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(f.get(ROWS_A_STRIP, [height])[0], height))
     offsets, lengths = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f[STRIP_OFFSETS], f[STRIP_BYTES])
-    decode = DECODERS[f.get(COMPRESSION, [1])[0]]
+    coding, predictor = f.get(COMPRESSION, [1])[0], f.get(PREDICTOR, [1])[0]
+    if coding not in DECODERS:
+        raise ValueError(f"no decoder of compression {coding}")
+    if predictor not in (1, 2):
+        raise ValueError(f"no predictor {predictor}")
+    if not (width and height and across and down and wide) or max(height * width, across * down) * each * kind.itemsize > LARGEST:
+        raise ValueError("a page of no samples or too many")
+    decode = DECODERS[coding]
     out = np.zeros((height, width, each), kind)
     columns, rows = -(-width // across), -(-height // down)
     for i, (offset, length) in enumerate(zip(offsets, lengths, strict=True)):
         plane, i = divmod(i, columns * rows)
         y, x = i // columns * down, i % columns * across
         tall = down if tiled else min(down, height - y)
-        raw = np.frombuffer(decode(data[offset : offset + length]), kind, tall * across * wide).reshape(tall, across, wide)
-        if f.get(PREDICTOR, [1])[0] == 2:
+        raw = np.frombuffer(decode(data[offset : offset + length], tall * across * wide * kind.itemsize), kind, tall * across * wide).reshape(tall, across, wide)
+        if predictor == 2:
             raw = np.cumsum(raw, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
         fit = raw[: height - y, : width - x]
         out[y : y + tall, x : x + across, plane * wide : plane * wide + wide] = fit
@@ -234,11 +255,13 @@ def payload_of(text: bytes) -> bytes:
 
 
 def image_of(payload: bytes) -> bytes:
-    """payload as a grey image of 64 columns, deflated; even pages in strips, odd ones in tiles with prediction."""
+    """payload as a grey image of 64 columns. A page's CRC-32 picks PackBits, LZW or deflate, strips or tiles, and prediction."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for i, at in enumerate(range(0, len(samples), PAGE_ROWS)):
-        link = write_page(out, samples[at : at + PAGE_ROWS], DEFLATE, 1 + i % 2, (64, 64) if i % 2 else None, 1024, link)
+    for at in range(0, len(samples), PAGE_ROWS):
+        page = samples[at : at + PAGE_ROWS]
+        pick = zlib.crc32(page)
+        link = write_page(out, page, (PACKBITS, LZW, DEFLATE, DEFLATE)[pick % 4], 1 + pick // 4 % 2, (64, 64) if pick // 8 % 2 else None, 1024, link)
     return bytes(out)
 
 
@@ -274,7 +297,7 @@ def page_rows(data: bytes) -> Iterator[tuple]:
             if held:
                 yield (*told, *held)
             held = [i, False, x.shape[1], x.shape[0], x.shape[2], f.get(COMPRESSION, [1])[0], x.astype(x.dtype.newbyteorder("<")).tobytes(), None]
-    except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
         if held:
             yield (*told, *held)
         held = [-1, False, None, None, None, None, None, f"{type(e).__name__}: {e}"]
@@ -320,23 +343,25 @@ def document_batches(batches: Iterator) -> Iterator:
 
     import pyarrow as pa
 
-    fresh = lambda: (hashlib.sha256(), b"", 0, np.zeros(256, np.int64), 0)
-    sha, tail, size, count, n = fresh()
+    fresh = lambda: (hashlib.sha256(), b"", 0, np.zeros(256, np.int64), [], None)
+    sha, tail, size, count, codings, fault = fresh()
     levels = np.arange(256)
     for batch in slices(batches, 64):
         of, rows = [], []
-        for i, (data, last) in enumerate(zip(batch.column("samples").to_pylist(), batch.column("last").to_pylist(), strict=True)):
+        for i, (data, last, coding, error) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("samples", "last", "compression", "error")), strict=True)):
             data = data or b""
             sha.update(data)
-            tail, size, n = (tail + data[-64:])[-64:], size + len(data), n + 1
+            tail, size = (tail + data[-64:])[-64:], size + len(data)
             count += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+            codings, fault = [*codings, coding] if error is None else codings, fault or error
             if last:
                 p = count[count > 0] / max(1, size)
                 mean = float(count @ levels) / max(1, size)
                 spread = float(np.sqrt(max(0.0, float(count @ levels**2) / max(1, size) - mean**2)))
-                rows.append((size, sha.hexdigest(), zlib.crc32(tail), f"pages={n};rows={size // ROW};mean={mean:.4f};sd={spread:.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};levels={len(p)}"))
+                told = f"pages={len(codings)};codings={'+'.join(str(c) for c in sorted(set(codings)))};rows={size // ROW};mean={mean:.4f};sd={spread:.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};levels={len(p)}"
+                rows.append((size, sha.hexdigest(), zlib.crc32(tail), told if fault is None else f"error={fault};{told}"))
                 of.append(i)
-                sha, tail, size, count, n = fresh()
+                sha, tail, size, count, codings, fault = fresh()
         if rows:
             carried = [batch.column(x).take(pa.array(of)) for x in ("doc", "n_bytes", "media_bytes", "media_sha256")]
             yield pa.RecordBatch.from_arrays([*carried, *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True))], names=["doc", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
@@ -344,7 +369,7 @@ def document_batches(batches: Iterator) -> Iterator:
 
 def by_document(rows: DataFrame) -> DataFrame:
     kind = T.StructType([rows.schema["doc"], *(T.StructField(n, T._parse_datatype_string(k)) for n, k in [("n_bytes", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string")])])
-    return rows.select("doc", "n_bytes", "media_bytes", "media_sha256", "last", "samples").mapInArrow(document_batches, kind)
+    return rows.select("doc", "n_bytes", "media_bytes", "media_sha256", "last", "compression", "error", "samples").mapInArrow(document_batches, kind)
 
 
 def op5_tiff(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
+from pyspark.sql import functions as F
 
 from lattica.llm import tiff
 
@@ -15,19 +16,21 @@ SF = "/root/testdata/sf0.001"
 @settings(max_examples=80, deadline=None)
 @given(some.binary(max_size=2000))
 def test_codings_round_trip(data):
-    assert tiff.unpack_bits(tiff.pack_bits(data)) == data
-    assert tiff.unlzw(tiff.lzw(data)) == data
+    for most in (len(data), len(data) // 2):
+        assert tiff.unpack_bits(tiff.pack_bits(data), most) == data[:most]
+        assert tiff.unlzw(tiff.lzw(data), most) == data[:most]
+        assert most == 0 or tiff.inflate(zlib.compress(data), most) == data[:most]
 
 
 def test_long_lzw_widens_and_clears():
     data = np.random.default_rng(0).integers(0, 256, 60000, dtype=np.uint8).tobytes() + b"ab" * 9000
-    assert tiff.unlzw(tiff.lzw(data)) == data
+    assert tiff.unlzw(tiff.lzw(data), len(data)) == data
 
 
 def test_published_lzw_and_packbits_examples():
-    assert tiff.unlzw(bytes([0x80, 0x01, 0xE0, 0x40, 0x80, 0x44, 0x08, 0x0C, 0x06, 0x80, 0x80])) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unlzw(bytes([0x80, 0x01, 0xE0, 0x40, 0x80, 0x44, 0x08, 0x0C, 0x06, 0x80, 0x80]), 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
     packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
-    assert tiff.unpack_bits(packed) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    assert tiff.unpack_bits(packed, 99) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
 
 
 @pytest.mark.parametrize("coding", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
@@ -67,15 +70,52 @@ def test_query_equals_brute_force(spark):
     got = {r.doc_id: r for r in tiff.op5_tiff(spark, SF).collect()}
     texts = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert len(got) == len(texts)
+    codings = set()
     for t in texts:
         b = (t.text or "").encode()
         p, r = b + b"\0" * ((-len(b)) % 64 or (0 if b else 64)), got[t.doc_id]
         image = tiff.image_of(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        codings.update(r.feature.split("codings=")[1].split(";")[0].split("+"))
+        assert not r.feature.startswith("error")
         assert f"mean={np.frombuffer(p, np.uint8).mean():.4f};" in r.feature
 
 
+    assert codings == {str(tiff.PACKBITS), str(tiff.LZW), str(tiff.DEFLATE)}
+
+
+def field(data, tag, value, kind=None):
+    """An image of one page with another value of a field."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for i in range(struct.unpack_from("<H", out, at)[0]):
+        if struct.unpack_from("<H", out, at + 2 + 12 * i)[0] == tag:
+            struct.pack_into("<I", out, at + 10 + 12 * i, value)
+    return bytes(out)
+
+
+def test_hostile_images_are_errors():
+    out, bomb = bytearray(b"II*\0\0\0\0\0"), bytearray(b"II*\0\0\0\0\0")
+    tiff.write_page(out, np.zeros((8, 64), np.uint8), tiff.DEFLATE, 1, None, 8, 4)
+    good = bytes(out)
+    assert [r[2] for r in tiff.page_rows(good)] == [0]
+    for tag, value in ((tiff.WIDTH, 2**31), (tiff.HEIGHT, 2**31), (tiff.HEIGHT, 0), (tiff.PREDICTOR, 3), (tiff.COMPRESSION, 7), (tiff.ROWS_A_STRIP, 0), (tiff.BITS, 1), (tiff.STRIP_BYTES, 3)):
+        ((*_, page, last, _, _, _, _, samples, error),) = tiff.page_rows(field(good, tag, value))
+        assert (page, last, samples) == (-1, True, None) and error, tag
+    tiff.write_page(bomb, np.zeros((4096, 4096), np.uint8), tiff.DEFLATE, 1, None, 4096, 4)
+    small = field(field(bytes(bomb), tiff.WIDTH, 8), tiff.HEIGHT, 8)
+    ((*_, samples, error),) = tiff.page_rows(small)
+    assert error is None and samples == bytes(64)  # what is beyond the page's own size is not decoded
+
+
+def test_faults_show_in_features(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    hurt = tiff.with_images(docs).withColumn("media", F.concat(F.substring("media", 1, 8), F.lit(b"\xff" * 60)))
+    (row,) = tiff.by_document(tiff.read_pages(hurt)).collect()
+    assert row.feature.startswith("error=")
+
+
 def test_rows_for_pages(spark):
     two = tiff.image_of(tiff.payload_of(b"z" * 64 * 5000))
     loop = bytearray(tiff.image_of(tiff.payload_of(b"a")))
