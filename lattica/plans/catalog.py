@@ -417,14 +417,16 @@ def ucca_sql(k: int) -> str:
     parts = " + ".join(f"power(covar_samp(z, q{i}.y), 2) / var_samp(q{i}.y)" for i in range(1, k + 1))
     joins = " ".join(f"join q{i} using (sample_idx)" for i in range(1, k + 1))
     out.append(f", r as (select var_idx, count(*) n, ({parts}) / var_samp(z) r2 from z {joins} group by 1)")
-    p = {2: "power(1-r2, (n-3)/2.0)", 4: "power(1-r2, (n-5)/2.0) * (1 + (n-5)/2.0 * r2)"}.get(k)
+    # k = 1 and an even number of samples: the two-sided tail of Student's t as a finite sum.
+    one = "1 - sqrt(r2) * list_sum(list_transform(range(0, (n - 2) // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(i + 1.0) + i * ln(1 - r2)))) / sqrt(pi())"
+    p = {1: one, 2: "power(1-r2, (n-3)/2.0)", 4: "power(1-r2, (n-5)/2.0) * (1 + (n-5)/2.0 * r2)"}.get(k)
     out.append(f" select var_idx, round(sqrt(r2), 9) + 0.0 as \"R\", round(r2/(1-r2)*(n-{k}-1)/{k}, 6) + 0.0 as \"Fstat\"" + (f", round({p}, 9) + 0.0 as \"P\"" if p else "") + " from r")
     return "".join(out)
 
 
 def ucca(spark, d, k, by="sample"):
     got = ucca_op.ucca(fx.geno_matrix(spark, d, by), fx.pheno_matrix(spark, d, k))
-    return got.select("var_idx", r("R", 9).alias("R"), r("Fstat").alias("Fstat"), *([r("P", 9).alias("P")] if k != 1 else []))
+    return got.select("var_idx", r("R", 9).alias("R"), r("Fstat").alias("Fstat"), r("P", 9).alias("P"))
 
 
 for _k in (1, 2, 4):
@@ -469,26 +471,98 @@ query("scca_unpenalised", scca_sql(0.0, 0.0, 60))(lambda spark, d: scca_weights(
 query("scca_penalised", scca_sql(0.05, 0.02, 60))(lambda spark, d: scca_weights(spark, d, 0.05, 0.02))
 
 
-@query("scca_grid")
+def listed(a) -> str:
+    return "[" + ", ".join(listed(x) if np.ndim(x) else f"{float(x)!r}::double" for x in a) + "]"
+
+
+def fits_sql(source: str, keys: str, v0: np.ndarray, warm: bool, steps: int = 200) -> str:
+    """CTEs to `fits` (keys, l1, l2, u1, v1, d1, u2, v2, d2): two dimensions by penalised power iteration from source (keys, c, ct: the
+    cross-product by rows and by columns) over the grid `points` (l1, l2). Weights are lists; each iteration is a recursive CTE.
+
+    warm: the start is an unpenalised fit from v0, as without a start given; else v0 itself."""
+    p, q = "len(c)", "len(ct)"
+    times = lambda m, w: f"list_transform({m}, lambda row: list_inner_product(row, {w}))"
+    unit = lambda w: f"(case when list_inner_product({w}, {w}) > 0 then list_transform({w}, lambda e: e / sqrt(list_inner_product({w}, {w}))) else {w} end)"
+    soft = lambda w, pen: f"list_transform({w}, lambda e: sign(e) * greatest(abs(e) - {pen}, 0))"
+    apart = lambda w, by, n: f"list_transform(range(1, {n} + 1), lambda i: {w}[i] - {by}[i] * list_inner_product({w}, {by}) / list_inner_product({by}, {by}))"
+
+    def dim(name, src, l1, l2, start, by=None):
+        side = lambda w, y, n: apart(w, y, n) if by else w
+        held = f"{keys}, c, ct, l1, l2, s1, s2" + (", u1, v1, d1" if by else "")
+        return f"""{name}_it as (select {held}, 0 step, {start} v, cast(null as double[]) u from {src} union all
+    select {held}, step + 1, {unit("vs")} v, u from (select *, {soft(unit("va"), l2)} vs from (select *, {side("vr", "v1", q)} va from (select *, {times("ct", "u")} vr from (
+    select {held}, step, {unit("us")} u from (select *, {soft(unit("ua"), l1)} us from (select *, {side("ur", "u1", p)} ua from (select {held}, step, {times("c", "v")} ur from {name}_it where step < {steps}))))))))"""
+
+    last = lambda name, more: f"select * exclude (step, v, u), u {more[0]}, v {more[1]}, list_inner_product(u, {times('c', 'v')}) {more[2]} from {name}_it where step = {steps}"
+    a, b = (listed(v0[:, j]) for j in range(2))
+    grid = f"select {keys}, c, ct, l1, l2, s1, s2 from starts cross join points"
+    starts = f"starts as (select {keys}, c, ct, 0 l1, 0 l2, {a} s1, {b} s2 from {source})"
+    if not warm:
+        return f"{starts}, cold as ({grid.replace('c, ct, l1, l2', 'c, ct, points.l1, points.l2')}), {dim('one', 'cold', 'l1', 'l2', 's1')}, one as ({last('one', ('u1', 'v1', 'd1'))}), {dim('two', 'one', 'l1', 'l2', 's2', True)}, fits as ({last('two', ('u2', 'v2', 'd2'))})"
+    return (
+        f"{starts}, {dim('wone', 'starts', '0', '0', 's1')}, wone as ({last('wone', ('u1', 'v1', 'd1'))}), {dim('wtwo', 'wone', '0', '0', 's2', True)}, wtwo as ({last('wtwo', ('u2', 'v2', 'd2'))}), "
+        f"warmed as (select {keys}, c, ct, points.l1, points.l2, v1 s1, v2 s2 from wtwo cross join points), {dim('one', 'warmed', 'l1', 'l2', 's1')}, one as ({last('one', ('u1', 'v1', 'd1'))}), {dim('two', 'one', 'l1', 'l2', 's2', True)}, fits as ({last('two', ('u2', 'v2', 'd2'))})"
+    )
+
+
+def points_sql(l1, l2) -> str:
+    return "points as (select unnest([" + ", ".join(f"{{'l1': {float(a)!r}::double, 'l2': {float(b)!r}::double}}" for a in l1 for b in l2) + "], recursive := true))"
+
+
+#: Phenotype columns as rows, and for which samples' statistics and products are taken in each fold (fold -1: all samples).
+def cross_sql(folds: str, scale: str) -> str:
+    """CTE `cx` (fold, c, ct) from `folds` (fold, sample_idx): Z_x'Z_y times scale, both standardised by the samples of the fold."""
+    return f"""yl as (select sample_idx, l, y from (select sample_idx, unnest([1, 2, 3, 4]) l, unnest([y1, y2, y3, y4]) y from ph)),
+xs as materialized (select fold, var_idx j, avg(value) mean, {SD["binom2"]} sd from geno join {folds} using (sample_idx) group by 1, 2),
+ys as materialized (select fold, l, avg(y) mean, stddev_samp(y) sd from yl join {folds} using (sample_idx) group by 1, 2),
+zx as materialized (select fold, sample_idx, j, case when sd > 1e-9 then (value - mean) / sd end z from geno join {folds} using (sample_idx) join xs using (fold) where xs.j = geno.var_idx),
+zy as materialized (select fold, sample_idx, l, case when sd > 1e-9 then (y - mean) / sd end z from yl join {folds} using (sample_idx) join ys using (fold, l)),
+cells as materialized (select fold, j, l, coalesce(sum(zx.z * zy.z), 0) / ({scale}) v from zx join zy using (fold, sample_idx) group by 1, 2, 3),
+cx as materialized (select a.fold, c, ct from (select fold, list(r order by j) c from (select fold, j, list(v order by l) r from cells group by 1, 2) group by 1) a join (select fold, list(r order by l) ct from (select fold, l, list(v order by j) r from cells group by 1, 2) group by 1) b on a.fold = b.fold)"""
+
+
+UNIT_START = np.array([[1.0, 0.5], [0.25, 1.0], [0.5, -0.5], [0.75, 0.25]])
+NZ = "len(list_filter({}, lambda e: e <> 0))"
+ALL_FOLDS = "(select -1 fold, sample_idx from ph)"
+GRID_SQL = f"with recursive {fx.GENO}, {fx.PHENO}, {cross_sql(ALL_FOLDS, '(select count(*) - 1 from ph)')}, {points_sql([0.0, 0.05], [0.0, 0.05])}, {fits_sql('cx', 'fold', UNIT_START, False)} " + " union all ".join(
+    f"select l1 lambda1, l2 lambda2, {j} dim, round(d{j}, 6) + 0.0 d, {NZ.format(f'u{j}')} nzero_x, {NZ.format(f'v{j}')} nzero_y, true converged from fits" for j in (1, 2)
+)
+
+
+@query("scca_grid", GRID_SQL)
 def _grid(spark, d):
-    got = scca_op.scca_grid(fx.geno_matrix(spark, d), fx.pheno_matrix(spark, d, 4), [0.0, 0.05], [0.0, 0.05], 2)
+    got = scca_op.scca_grid(fx.geno_matrix(spark, d), fx.pheno_matrix(spark, d, 4), [0.0, 0.05], [0.0, 0.05], 2, v0=UNIT_START, tol=1e-12)
     rows = [(float(a), float(b), j + 1, float(x.d[j]), int(np.count_nonzero(x.u[:, j])), int(np.count_nonzero(x.v[:, j])), x.converged) for (a, b), x in got.items() for j in range(2)]
     return spark.createDataFrame(rows, "lambda1 double, lambda2 double, dim int, d double, nzero_x long, nzero_y long, converged boolean").withColumn("d", r("d"))
 
 
+FOLDS = 5
+FOLD_SQL = f"('0x'||substr(md5('k|'||sample_idx),1,6))::bigint % {FOLDS}"
+#: Correlations of raw scores over all samples, each scored by `fits` of its own fold; missing values count as 0.
+POOLED = """both_u as (select l1, l2, fold, 1 dim, u1 w from fits union all select l1, l2, fold, 2, u2 from fits),
+both_v as (select l1, l2, fold, 1 dim, v1 w from fits union all select l1, l2, fold, 2, v2 from fits),
+sc as materialized (select l1, l2, sample_idx, dim, sum(coalesce(value, 0) * w) a from (select l1, l2, fold, dim, unnest(w) w, generate_subscripts(w, 1) - 1 j from both_u) join (select geno.*, fold from geno join held using (sample_idx)) g using (fold) where g.var_idx = j group by 1, 2, 3, 4),
+sy as materialized (select l1, l2, sample_idx, dim, sum(coalesce(y, 0) * w) b from (select l1, l2, fold, dim, unnest(w) w, generate_subscripts(w, 1) l from both_v) v join (select yl.*, fold from yl join held using (sample_idx)) g using (fold) where g.l = v.l group by 1, 2, 3, 4),
+co as (select l1, l2, dim, corr(a, b) corr from sc join sy using (l1, l2, sample_idx, dim) group by 1, 2, 3),
+nz as (select l1, l2, dim, avg(nx) nx, avg(ny) ny from (select l1, l2, 1 dim, len(list_filter(u1, lambda e: e <> 0)) nx, len(list_filter(v1, lambda e: e <> 0)) ny from fits union all select l1, l2, 2, len(list_filter(u2, lambda e: e <> 0)), len(list_filter(v2, lambda e: e <> 0)) from fits) group by 1, 2, 3)"""
+CV_SQL = f"with recursive {fx.GENO}, {fx.PHENO}, held as materialized (select sample_idx, {FOLD_SQL} fold from ph), tr as materialized (select f.fold, sample_idx from held cross join (select unnest(range({FOLDS})) fold) f where held.fold <> f.fold), {cross_sql('tr', '(select count(*) - 1 from ph)')}, {points_sql([0.0, 0.05, 0.1], [0.0, 0.05])}, {fits_sql('cx', 'fold', scca_op.start(4, 2, 1), True)}, {POOLED}"
+
+
 def cross_validated(spark, d):
-    return scca_op.cv_scca(fx.geno_matrix(spark, d), fx.pheno_matrix(spark, d, 4), [0.0, 0.05, 0.1], [0.0, 0.05], 2, nfolds=5)
+    idx = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"))
+    folds = idx.withColumn("fold", (fx.part(F.concat(F.lit("k|"), F.col("idx").cast("string"))) % FOLDS).cast("int"))
+    return scca_op.cv_scca(fx.geno_matrix(spark, d), fx.pheno_matrix(spark, d, 4), [0.0, 0.05, 0.1], [0.0, 0.05], 2, nfolds=FOLDS, folds=folds, tol=1e-12)
 
 
-@query("cv_scca_grid")
+@query("cv_scca_grid", CV_SQL + " select cast(dim as integer) dim, l1 lambda1, l2 lambda2, round(corr, 6) + 0.0 corr, nx::double nzero_x, ny::double nzero_y from co join nz using (l1, l2, dim)")
 def _cv(spark, d):
     g = cross_validated(spark, d).grid
     return g.select("dim", "lambda1", "lambda2", r("corr").alias("corr"), "nzero_x", "nzero_y")
 
 
-@query("cv_scca_best")
+@query("cv_scca_best", CV_SQL + " select l1 lambda1, l2 lambda2, round(corr, 6) + 0.0 corr from co where dim = 1 and corr is not null order by corr desc, l1, l2 limit 1")
 def _best(spark, d):
-    return spark.createDataFrame([x] if (x := cross_validated(spark, d).best()) else [], "lambda1 double, lambda2 double, corr double")
+    return spark.createDataFrame([x] if (x := cross_validated(spark, d).best()) else [], "lambda1 double, lambda2 double, corr double").withColumn("corr", r("corr"))
 
 
 @query("score_correlation", f"with {Z}, {fx.PHENO}, a as (select sample_idx, sum(z * ((var_idx % 7) - 3)) s, sum(z * ((var_idx % 5) - 2)) t from z group by 1) select round(corr(s, y1), 9) + 0.0 s1, round(corr(s, y2), 9) + 0.0 s2, round(corr(t, y1), 9) + 0.0 t1, round(corr(t, y2), 9) + 0.0 t2 from a join ph using (sample_idx)")
@@ -511,16 +585,23 @@ def split(spark, d):
     return out
 
 
-@query("scca_tuned")
+TUNED_SQL = (
+    f"with recursive {fx.GENO}, {fx.PHENO}, held as materialized (select sample_idx, 0 fold from ph where not ({TRAIN})), tr as materialized (select 0 fold, sample_idx from ph where {TRAIN}), {cross_sql('tr', '(select count(*) - 1 from tr)')}, {points_sql([0.0, 0.05], [0.0, 0.05])}, {fits_sql('cx', 'fold', UNIT_START, False)}, {POOLED} "
+    "select cast(dim as integer) dim, l1 lambda1, l2 lambda2, round(corr, 6) + 0.0 corr, cast(nx as bigint) nzero_x, cast(ny as bigint) nzero_y, true converged from co join nz using (l1, l2, dim)"
+)
+
+
+@query("scca_tuned", TUNED_SQL)
 def _tuned(spark, d):
     x, y, x_test, y_test = split(spark, d)
-    got = scca_op.tune(x, y, x_test, y_test, [0.0, 0.05], [0.0, 0.05], 2)
+    got = scca_op.tune(x, y, x_test, y_test, [0.0, 0.05], [0.0, 0.05], 2, v0=UNIT_START, tol=1e-12)
     return got.select("dim", "lambda1", "lambda2", r("corr").alias("corr"), "nzero_x", "nzero_y", "converged")
 
 
-@query("drop_empty_samples", f"with {fx.GENO}, known as (select sample_idx from geno where var_idx < 2 group by 1 having count(value) > 0) select sample_idx, var_idx, value from geno where var_idx < 2 and sample_idx in (select sample_idx from known)")
+@query("drop_empty_samples", f"with {fx.GENO}, spoilt as (select sample_idx, var_idx, case when sample_idx % 9 <> 0 then value end as value from geno), known as (select sample_idx from spoilt group by 1 having count(value) > 0) select sample_idx, var_idx, value from spoilt where sample_idx in (select sample_idx from known)")
 def _drop_empty(spark, d):
-    return qc.drop_empty_samples(fx.geno(spark, d).filter("var_idx < 2"))
+    """Every ninth sample loses all its values."""
+    return qc.drop_empty_samples(fx.geno(spark, d).withColumn("value", F.when(F.col("sample_idx") % 9 != 0, F.col("value"))))
 
 
 @query("pca_pcs_named", f"{EIGEN}, p as (select sample_idx, " + ", ".join(f"sum(z*e{i}.c) / sqrt(40) p{i}" for i in range(1, K + 1)) + " from z " + " ".join(f"join e{i} on z.var_idx = e{i}.j" for i in range(1, K + 1)) + " group by 1) select sample_idx, c_name as name, " + ", ".join(f'round(p{i}, 6) + 0.0 as "PC{i}"' for i in range(1, K + 1)) + " from p join customer on c_custkey = sample_idx")
@@ -535,3 +616,6 @@ def _maf_scale(spark, d):
     maf = qc.variable_rates(fx.geno(spark, d)).join(fx.variants(spark), "var_idx").select("var_id", "ref_allele", "maf")
     got = project_op.project(fx.geno_matrix(spark, d), fixed_loadings(spark), project_op.meansd_of_maf(maf))
     return got.select("sample_idx", r(F.col("values")[0]).alias("pc"))
+
+
+from . import catalog_files  # noqa: E402, F401  (adds its queries)
