@@ -1,48 +1,58 @@
-"""The F distribution's upper tail, without scipy."""
+"""The F distribution's upper tail, without scipy: for arrays, element by element."""
 
 from __future__ import annotations
 
-from math import exp, lgamma, log, log1p, nan
+from math import lgamma
 
+import numpy as np
 
-def beta_fraction(a: float, b: float, x: float) -> float:
+#: Terms of the continued fraction; a few dozen are needed where it is used.
+TERMS, TINY = 10_000, 1e-300
+
+
+def away(x: np.ndarray) -> np.ndarray:
+    """x without zeros."""
+    return np.where(np.abs(x) > TINY, x, TINY)
+
+
+def beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 10_000):
+    c, d = np.ones_like(x), 1 / away(1.0 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, TERMS):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + top / c
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-16:
-            break
+            d = 1 / away(1 + top * d)
+            c = away(1 + top / c)
+            out = out * c * d
+        if not (np.abs(c * d - 1) >= 1e-15).any():
+            return out
+    raise RuntimeError(f"no convergence after {TERMS} terms")
+
+
+def beta_inc(a: float, b: float, x) -> np.ndarray:
+    """Regularised incomplete beta function I_x(a, b); NaN outside of 0 to 1."""
+    x = np.asarray(x, float)
+    out = np.where((x >= 0) & (x <= 1), x, np.nan)
+    inside = (x > 0) & (x < 1)
+    low = inside & (x < (a + 1) / (a + b + 2))
+    for some, p, q, turned in ((low, a, b, False), (inside & ~low, b, a, True)):
+        if some.any():
+            own = 1 - x[some] if turned else x[some]
+            front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x[some]) + b * np.log1p(-x[some]))
+            part = front * beta_fraction(p, q, own) / p
+            out[some] = 1 - part if turned else part
     return out
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if not 0 <= x <= 1:
-        return nan
-    if x in (0.0, 1.0):
-        return x
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * beta_fraction(a, b, x) / a
-    return 1 - front * beta_fraction(b, a, 1 - x) / b
-
-
-def f_upper(r2: float, n: int, k: int) -> float:
-    """P(F(k, n-k-1) > F) for the F statistic of a squared correlation r2; from 1-r2, so small tails stay accurate."""
+def f_upper(r2, n: int, k: int) -> np.ndarray:
+    """P(F(k, n-k-1) > F) for the F statistics of squared correlations r2; from 1-r2, so small tails stay accurate."""
     b = (n - k - 1) / 2
-    return beta_inc(b, k / 2, 1 - r2) if b > 0 else nan
+    return beta_inc(b, k / 2, 1 - np.asarray(r2, float)) if b > 0 else np.full(np.shape(r2), np.nan)
 
 
-def wilks(r2: float, n: int, k: int) -> tuple[float, float, float]:
-    """R, F and P of a squared multiple correlation with k variables over n rows."""
-    left = 1 - r2
-    f = r2 / left * (n - k - 1) / k if left > 0 else float("inf")
-    return r2**0.5, f, f_upper(r2, n, k)
+def wilks(r2, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """R, F and P of squared multiple correlations with k variables over n rows."""
+    r2 = np.atleast_1d(np.asarray(r2, float))
+    with np.errstate(divide="ignore"):
+        f = np.where(r2 < 1, r2 / (1 - r2) * (n - k - 1) / k, np.inf)
+    return np.sqrt(r2), f, f_upper(r2, n, k)

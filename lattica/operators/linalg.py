@@ -63,6 +63,13 @@ def total(rows: DataFrame, width: int, add: Callable, shape: tuple[int, int]) ->
     return out.reshape(shape)
 
 
+def sent(spark, value, nbytes: int):
+    """value as a broadcast, if executors can be expected to hold its bytes: as wide as a row, times some columns."""
+    if nbytes > DRIVER_BYTES:
+        raise ValueError(f"{nbytes} bytes are more than is broadcast ({DRIVER_BYTES})")
+    return spark.sparkContext.broadcast(value)
+
+
 def gram(x: Matrix) -> np.ndarray:
     """Sum of the outer products of rows: width x width."""
 
@@ -80,7 +87,7 @@ def squares(x: Matrix) -> float:
 
 def rows_times(x: Matrix, m: np.ndarray, name: str = "values") -> DataFrame:
     """idx, row . m for each row: no shuffle."""
-    shared = x.rows.sparkSession.sparkContext.broadcast(m)
+    shared = sent(x.rows.sparkSession, m, m.nbytes)
     width = x.width
 
     def run(batches: Iterator) -> Iterator:
@@ -104,7 +111,7 @@ def transposed_times(x: Matrix, right: DataFrame, k: int, column: str = "values"
 
 def gram_times(x: Matrix, m: np.ndarray) -> np.ndarray:
     """gram(x) . m, without the Gram matrix: one pass."""
-    shared = x.rows.sparkSession.sparkContext.broadcast(m)
+    shared = sent(x.rows.sparkSession, m, m.nbytes)
 
     def add(sums, idx, values, batch):
         sums += values.T @ (values @ shared.value)
@@ -113,14 +120,19 @@ def gram_times(x: Matrix, m: np.ndarray) -> np.ndarray:
 
 
 def top_eigen(x: Matrix, k: int, tol: float = 1e-6, maxiter: int = 500, seed: int = 1, gram_width: int = GRAM_WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenvalues of gram(x), falling, and their vectors (width x k).
+    return eigen_and_trace(x, k, tol, maxiter, seed, gram_width)[:2]
+
+
+def eigen_and_trace(x: Matrix, k: int, tol: float = 1e-6, maxiter: int = 500, seed: int = 1, gram_width: int = GRAM_WIDTH) -> tuple[np.ndarray, np.ndarray, float]:
+    """The k largest eigenvalues of gram(x), falling, their vectors (width x k), and the sum of all eigenvalues.
 
     Up to `gram_width` from the Gram matrix: one pass. Wider by subspace iteration with
     Rayleigh-Ritz steps, a pass each, until residuals are at most tol times the largest eigenvalue.
     """
     if x.width <= gram_width:
-        values, vectors = np.linalg.eigh(gram(x))
-        return values[::-1][:k].copy(), vectors[:, ::-1][:, :k].copy()
+        g = gram(x)
+        values, vectors = np.linalg.eigh(g)
+        return values[::-1][:k].copy(), vectors[:, ::-1][:, :k].copy(), float(np.trace(g))
     rng = np.random.default_rng(seed)
     q = np.linalg.qr(rng.standard_normal((x.width, min(x.width, k + max(10, k)))))[0]
     for _ in range(maxiter):
@@ -130,7 +142,7 @@ def top_eigen(x: Matrix, k: int, tol: float = 1e-6, maxiter: int = 500, seed: in
         values, turn = small[order], turn[:, order]
         vectors, image = q @ turn[:, :k], y @ turn[:, :k]
         if np.linalg.norm(image - vectors * values[:k], axis=0).max() <= tol * max(values[0], 1e-300):
-            return values[:k], vectors
+            return values[:k], vectors, squares(x)
         q = np.linalg.qr(y)[0]
     raise RuntimeError(f"no convergence after {maxiter} passes")
 

@@ -64,10 +64,10 @@ def pca(x: Matrix, k: int = config.NDIM, stand: str = "binom2", divisor: str = "
     z, scale = standardized(x, stand, zero_var=zero_var)
     z = z.persist() if persist else z
     spark = x.rows.sparkSession
-    e, w = linalg.top_eigen(z, k, tol, maxiter, seed, gram_width)
+    e, w, total = linalg.eigen_and_trace(z, k, tol, maxiter, seed, gram_width)
     e = np.maximum(e, 0.0)
     d = e / div
-    trace = linalg.squares(z) / div
+    trace = total / div
     back = w / np.sqrt(np.where(e > 0, e, np.inf))
     if x.by == "sample":  # w holds loadings
         flip = linalg.signs(w)

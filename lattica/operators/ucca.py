@@ -24,11 +24,13 @@ def inverse_root(cov: np.ndarray) -> np.ndarray:
     return v[:, keep] / np.sqrt(e[keep])
 
 
-def results(var_x: np.ndarray, cov_xy: np.ndarray, root: np.ndarray, n: int, k: int) -> list[tuple]:
-    r2 = ((cov_xy @ root) ** 2).sum(1)
-    out = []
-    for r, v in zip(r2, var_x, strict=True):
-        out.append(wilks(min(1.0, float(r / v)), n, k) if v > 1e-18 else (None, None, None))
+def results(var_x: np.ndarray, cov_xy: np.ndarray, root: np.ndarray, n: int, k: int) -> list[np.ndarray]:
+    """R, F and P; NaN for constant variables."""
+    known = var_x > 1e-18
+    r2 = np.minimum(1.0, ((cov_xy @ root) ** 2).sum(1)[known] / var_x[known])
+    out = [np.full(len(var_x), np.nan) for _ in range(3)]
+    for column, own in zip(out, wilks(r2, n, k), strict=True):
+        column[known] = own
     return out
 
 
@@ -54,7 +56,7 @@ def ucca(x: Matrix, y: Matrix, standx: str = "binom2", standy: str = "sd", check
         for r in got:
             values[r["idx"]] = r["values"]
         values -= values.mean(0)
-        shared = spark.sparkContext.broadcast((values, inverse_root(values.T @ values / (n - 1))))
+        shared = linalg.sent(spark, (values, inverse_root(values.T @ values / (n - 1))), values.nbytes)
 
         def run(batches):
             import pyarrow as pa
@@ -63,8 +65,8 @@ def ucca(x: Matrix, y: Matrix, standx: str = "binom2", standy: str = "sd", check
                 v = block(batch, n)
                 v = v - v.mean(1, keepdims=True)
                 own, root = shared.value
-                rows = results((v**2).sum(1) / (n - 1), v @ own / (n - 1), root, n, k)
-                yield pa.RecordBatch.from_arrays([batch.column("idx"), *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], names=["var_idx", "R", "Fstat", "P"])
+                found = results((v**2).sum(1) / (n - 1), v @ own / (n - 1), root, n, k)
+                yield pa.RecordBatch.from_arrays([batch.column("idx"), *(pa.array(c, pa.float64(), from_pandas=True) for c in found)], names=["var_idx", "R", "Fstat", "P"])
 
         return zx.rows.mapInArrow(run, RESULT)
     both = zx.rows.join(zy.rows.withColumnRenamed("values", "y"), "idx")
@@ -82,8 +84,8 @@ def ucca(x: Matrix, y: Matrix, standx: str = "binom2", standy: str = "sd", check
     var_x = (s[:p, k + 1] - n * mean_x**2) / (n - 1)
     cov = (s[:p, :k] - n * np.outer(mean_x, mean_y)) / (n - 1)
     cov_y = (s[p:, :k] - n * np.outer(mean_y, mean_y)) / (n - 1)
-    rows = results(np.where(var_x > 1e-12 * np.maximum(1.0, mean_x**2), var_x, 0.0), cov, inverse_root(cov_y), n, k)
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], RESULT)
+    found = results(np.where(var_x > 1e-12 * np.maximum(1.0, mean_x**2), var_x, 0.0), cov, inverse_root(cov_y), n, k)
+    return spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(zip(*found, strict=True))], RESULT)
 
 
 def standardized_single(y: Matrix, method: str) -> Matrix:

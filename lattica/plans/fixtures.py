@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +51,17 @@ def samples(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "customer").count()
 
 
+#: Fixture matrices by application, tables and side: derived once a session, as a user keeps a matrix that many passes read.
+KEPT: dict[tuple[str, str, str], Matrix] = {}
+
+
 def geno_matrix(spark: SparkSession, sf_dir: str, by: str = "sample") -> Matrix:
     """Keys of customers count from 0, so they serve as sample indices by variable too."""
-    if by == "sample":
-        return from_long(geno(spark, sf_dir), n=samples(spark, sf_dir), p=P, variables=variants(spark))
-    return from_long(geno(spark, sf_dir), by="variable", n=samples(spark, sf_dir), p=P, variables=variants(spark))
+    key = (spark.sparkContext.applicationId, sf_dir, by)
+    if key not in KEPT:
+        x = from_long(geno(spark, sf_dir), by=by, n=samples(spark, sf_dir), p=P, variables=variants(spark))
+        KEPT[key] = replace(x, rows=x.rows.persist())
+    return KEPT[key]
 
 
 def variants(spark: SparkSession) -> DataFrame:

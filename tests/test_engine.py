@@ -164,8 +164,8 @@ def test_tails_of_f_against_the_library(spark):
     f = spark._jvm.org.apache.commons.math3.distribution.FDistribution
     for k, n in ((1, 30), (3, 100), (7, 20)):
         for r2 in (0.01, 0.3, 0.7):
-            _, stat, p = special.wilks(r2, n, k)
-            assert np.isclose(p, 1 - f(float(k), float(n - k - 1)).cumulativeProbability(stat), rtol=1e-6, atol=1e-12)
+            _, (stat,), (p,) = special.wilks(r2, n, k)
+            assert np.isclose(p, 1 - f(float(k), float(n - k - 1)).cumulativeProbability(float(stat)), rtol=1e-6, atol=1e-12)
 
 
 def test_ucca_edges(data, spark):
