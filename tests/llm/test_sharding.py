@@ -44,16 +44,25 @@ def test_weights_and_growth(spark):
     assert all(r.shard == less[r.id] or r.shard == 1 for r in rows)  # more weight only attracts
 
 
+def test_slots_do_not_depend_on_settings(spark):
+    told = []
+    for n in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        told.append({r.doc_id: r.slot for r in sharding.op1_rendezvous(spark, SF).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told[0] == told[1]
+
+
 def test_edges(spark):
     rows = [(None, "a", "x"), (None, "a", "x"), ("n", None, "y"), ("1", "", "z"), ("1", "é" * 50000, "z")]
     df = spark.createDataFrame(rows, "k string, text string, other string")
-    got = sharding.with_slots(sharding.rendezvous(df, ["k"]), "shard", ["k", "text"], 40).collect()
+    got = sharding.with_slots(sharding.rendezvous(df, ["k"]), "shard", ["k", "text"]).collect()
     assert len(got) == 5 and len({r.shard for r in got if r.k is None}) == 1 and len({r.shard for r in got if r.k == "1"}) == 1
     by = defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
-    assert sharding.with_slots(sharding.rendezvous(df.limit(0), ["k"]), "shard", ["k"], 40).count() == 0
+    assert sharding.with_slots(sharding.rendezvous(df.limit(0), ["k"]), "shard", ["k"]).count() == 0
     with pytest.raises(ValueError):
         sharding.rendezvous(df.withColumnRenamed("other", "Shard"), ["k"])
     with pytest.raises(ValueError):
