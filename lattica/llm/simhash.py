@@ -178,16 +178,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = staged(large, "components-large")
+        large = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "components-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = staged(small, "components-small")
+        edges = after = staged(small, "components-small")
         # Stars only: no node both hangs on one and carries another, and none hangs on two.
-        n, nodes = after.agg(F.count("*"), F.countDistinct("u")).first()
-        carries = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi").limit(1).count()
-        edges = after
-        if not carries and n == nodes:
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("carries")).union(after.select("v", F.lit(0), F.lit(1)))
+        odd = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries")).filter("hangs > 1 or hangs > 0 and carries > 0")
+        if odd.isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

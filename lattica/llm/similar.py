@@ -8,8 +8,8 @@
 2. Fingerprints. Of the texts left, SimHash fingerprints few bits apart are linked by pigeonhole blocks.
 3. Prefixes. Two similar texts share one of the first n - ceil(similarity*n) + 1 shingles of each, in any
    one order of all (prefix filter); rare shingles come first. Texts that share one form its bucket. Two
-   rounds of a candidate a row (its neighbour of another component) let large groups hang together before
-   any pairs are made; then each bucket gives the pairs of rows that are in different components yet, less
+   rounds of a candidate a row (the first of about its size; its neighbour of another component) let large
+   groups hang together before any pairs are made, the first as stars; then each bucket gives the pairs of rows that are in different components yet, less
    those ruled out by size or parity sketch: bit b says whether an odd number of shingles fall on it, so
    two sketches differ in no more bits than the sets do in shingles. A bucket above `LOT` rows is dealt
    into lots, and each pair of lots is compared by itself.
@@ -310,16 +310,19 @@ def links(docs: DataFrame, components: Callable, fingerprint_links: Callable, wo
     equal = rows.join(by_fp, "fp").where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
     close = fingerprint_links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a")
     close = close.join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    found = verified(possible(equal.union(close.distinct())))
-
     met = buckets_of(rows)
-    for order in (["n", "row"], [F.xxhash64("row", "token")]):
-        bucket = Window.partitionBy("token", "lot").orderBy(*order)
-        rooted = with_roots(met, components(found))
-        beside = rooted.select("row", "root", F.lag("row").over(bucket).alias("other"), F.lag("root").over(bucket).alias("its")).where("its <> root")
-        beside = beside.groupBy("row", "other").count().groupBy("row").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        beside = beside.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-        found = staged(found.unionByName(verified(possible(beside))), "similar-found")
+
+    def voted(candidates: DataFrame) -> DataFrame:
+        """Of the candidates (row, other) of each row, that of most buckets."""
+        best = candidates.groupBy("row", "other").count().groupBy("row").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+        return best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
+
+    alike = Window.partitionBy("token", "lot", F.floor(F.log(F.col("n") + 1) / math.log(1.1))).orderBy("row")
+    leading = voted(met.select("row", F.first("row").over(alike).alias("other")).where("row <> other"))
+    found = verified(possible(equal.union(close).union(leading).distinct()))
+    bucket = Window.partitionBy("token", "lot").orderBy("n", "row")
+    beside = with_roots(met, components(found)).select("row", "root", F.lag("row").over(bucket).alias("other"), F.lag("root").over(bucket).alias("its"))
+    found = staged(found.unionByName(verified(possible(voted(beside.where("its <> root")).distinct()))), "similar-found")
 
     mixed = with_roots(met, components(found)).select("token", "lot", "lots", "n", "row", "root").repartition("token", "lot").sortWithinPartitions("token", "lot")
     mixed = mixed.mapInArrow(mixed_batches, "token long, lot int, lots int, n int, row long, root long").join(known.select("row", "sketch"), "row")
