@@ -220,7 +220,7 @@ def pack_batches(path: str, window: int, close: int, most_open: int):
             )
 
         kind = None
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 64, ("words ",)):
             kind = batch.column(0).type
             for i, ids in zip(batch.column(0).to_pylist(), words.encode(as_bytes(batch.column(1))), strict=True):
                 own = np.frombuffer(ids + last, "<u4")

@@ -411,7 +411,7 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
 
         lattice = once_a_worker(f"lattice {path} {theta}", lambda: Lattice(Pieces(path, theta)))
         kind = pa.list_(pa.struct([("ids", pa.binary()), ("log_p", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64())]))
-        for batch in slices(batches, BATCH):
+        for batch in slices(batches, BATCH, ("lattice ", "decoder ")):
             texts = [t.decode() for t in as_bytes(batch.column("__text"))]
             seeds = [xxhash.xxh64_intdigest(key, seed) for key in as_bytes(batch.column("__key"))]
             start = 0
@@ -471,7 +471,7 @@ def decode_batches(path: str):
         import pyarrow as pa
 
         decoder = once_a_worker(f"decoder {path}", lambda: Decoder(path))
-        for batch in slices(batches, BATCH):
+        for batch in slices(batches, BATCH, ("lattice ", "decoder ")):
             texts = decoder.texts([x or b"" for x in batch.column("ids").to_pylist()])
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])

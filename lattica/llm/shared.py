@@ -116,8 +116,11 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator, rows: int = 256) -> Iterator:
-    """Arrow batches of at most so many rows, to bound what one step holds."""
+def slices(batches: Iterator, rows: int = 256, keep: tuple[str, ...] = ()) -> Iterator:
+    """Arrow batches of at most so many rows, to bound what one step holds. Of what once_a_worker() keeps, only keys that begin like `keep` stay."""
+    kept = getattr(sys.modules.get("_lattica_worker"), "kept", {})
+    for key in [k for k in kept if not k.startswith(keep or ("\0",))]:
+        del kept[key]
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

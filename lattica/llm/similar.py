@@ -2,8 +2,8 @@
 
 1. Census. A text of n shingles has at most n - ceil(similarity*n) that a similar one lacks. So a text
    with more shingles than that which no other text has is alone. Shingles in the least `SHARE` of hash
-   values are counted: a task sends their sorted fingerprints, packed, to owners of hash ranges, and
-   owners answer with the number of shared ones for each row. (Fingerprints have 32 bits within their
+   values are counted: a task sends blocks of their sorted fingerprints, packed, to owners of hash ranges,
+   and owners answer each block with the number of shared ones by row, packed too. (Fingerprints have 32 bits within their
    owner's range; two that meet by chance can only keep a text in, never leave one out.)
 2. Fingerprints. Of the texts left, SimHash fingerprints few bits apart are linked by pigeonhole blocks.
 3. Prefixes. Two similar texts share one of the first n - ceil(similarity*n) + 1 shingles of each, in any
@@ -65,7 +65,8 @@ def counted(share: float) -> int:
     return int(share * 2**64)
 
 
-CENSUS = "owner int, base long, tokens binary, low binary, high binary, rows binary, amounts binary"
+CENSUS = "owner int, block long, base long, tokens binary, low binary, high binary, rows binary, amounts binary"
+ANSWER = "block long, rows binary, amounts binary"
 
 
 def census_batches(words: int, seed: int, similarity: float, owners: int, share: float, block: int):
@@ -78,10 +79,10 @@ def census_batches(words: int, seed: int, similarity: float, owners: int, share:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        turn = TaskContext.get().partitionId()
+        turn = TaskContext.get().partitionId() << 32
 
         def message(owner, base, tokens=b"", low=b"", high=b"", rows=b"", amounts=b""):
-            return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x], pa.binary()) for x in (tokens, low, high, rows, amounts))], names=["owner", "base", "tokens", "low", "high", "rows", "amounts"])
+            return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([turn], pa.int64()), pa.array([base], pa.int64()), *(pa.array([x], pa.binary()) for x in (tokens, low, high, rows, amounts))], names=["owner", "block", "base", "tokens", "low", "high", "rows", "amounts"])
 
         def send(sets, rows, spares):
             base, rows = min(rows), np.array(rows, np.int64)
@@ -91,7 +92,7 @@ def census_batches(words: int, seed: int, similarity: float, owners: int, share:
             again = np.concatenate([[False], token[1:] == token[:-1]]) if len(token) else np.zeros(0, bool)
             known = again | np.concatenate([again[1:], [False]]) if len(token) else again
             amounts = np.bincount(place[known], minlength=len(sets)) - np.array(spares)
-            yield message(turn % owners, base, rows=rows.tobytes(), amounts=amounts.astype(np.int32).tobytes())
+            yield message(((turn >> 32) + turn) % owners, base, rows=rows.tobytes(), amounts=amounts.astype(np.int32).tobytes())
             at = np.where(known, KNOWN, rows[place] - base).astype(np.uint32)[~again]
             token = token[~again]
             to = (token // np.uint64(width)).astype(np.int64)
@@ -119,24 +120,42 @@ def census_batches(words: int, seed: int, similarity: float, owners: int, share:
 
 
 def census_answer(messages):
-    """An owner's messages to (row, amount): how many of its shingles other rows have too."""
+    """An owner's messages to (block, rows, amounts): how many of its shingles other rows have too. What a block tells of its own rows goes through."""
     import pyarrow as pa
 
-    tokens, rows, out = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
-    for base, token, low, high, own, amounts in zip(*(messages.column(c).to_pylist() for c in ("base", "tokens", "low", "high", "rows", "amounts")), strict=True):
+    tokens, rows, blocks, out = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for i, (block, base, token, low, high, own, amounts) in enumerate(zip(*(messages.column(c).to_pylist() for c in ("block", "base", "tokens", "low", "high", "rows", "amounts")), strict=True)):
         if own:
-            out.append((np.frombuffer(own, np.int64), np.frombuffer(amounts, np.int32).astype(np.int64)))
+            out.append((block, own, amounts))
         place = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
         tokens.append(np.frombuffer(token, "<u4"))
         rows.append(np.where(place == KNOWN, -1, base + place))
-    token, row = np.concatenate(tokens), np.concatenate(rows)
+        blocks.append(np.full(len(place), i))
+    token, row, block = np.concatenate(tokens), np.concatenate(rows), np.concatenate(blocks)
     order = np.argsort(token)
-    token, row = token[order], row[order]
+    token = token[order]
     again = np.concatenate([[False], token[1:] == token[:-1]]) if len(token) else np.zeros(0, bool)
-    shared = again | np.concatenate([again[1:], [False]]) if len(token) else again
-    out.append(np.unique(row[shared & (row >= 0)], return_counts=True))
-    row, amount = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"row": pa.array(row, pa.int64()), "amount": pa.array(amount, pa.int64())})
+    shared = np.zeros(len(token), bool)
+    shared[order] = again | np.concatenate([again[1:], [False]]) if len(token) else again
+    shared &= row >= 0
+    row, block = row[shared], block[shared]
+    cuts = np.searchsorted(block, np.arange(messages.num_rows + 1))
+    names = messages.column("block").to_pylist()
+    for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if y > x:
+            own, count = np.unique(row[x:y], return_counts=True)
+            out.append((names[i], own.tobytes(), count.astype(np.int32).tobytes()))
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "rows", "amounts"), zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def census_sum(answers):
+    """A block's answers to its rows that may have similar ones: those with more shared shingles than they can spare."""
+    import pyarrow as pa
+
+    row = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("rows").to_pylist()])
+    amount = np.concatenate([np.frombuffer(x, np.int32) for x in answers.column("amounts").to_pylist()])
+    rows, of = np.unique(row, return_inverse=True)
+    return pa.table({"row": pa.array(rows[np.bincount(of, amount) > 0], pa.int64())})
 
 
 def not_alone(docs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
@@ -146,8 +165,7 @@ def not_alone(docs: DataFrame, words: int, seed: int, similarity: float) -> Data
     # A shingle for every four bytes at most, as a rule; owners only share the work, so a wrong guess does no harm.
     owners = max(min(shuffle_partitions(spark), 64), math.ceil(SHARE * size / 4 / OWNER))
     sent = docs.mapInArrow(census_batches(words, seed, similarity, owners, SHARE, BLOCK), CENSUS)
-    told = sent.groupBy("owner").applyInArrow(census_answer, "row long, amount long")
-    return told.groupBy("row").agg(F.sum("amount").alias("more")).where("more > 0").select("row")
+    return sent.groupBy("owner").applyInArrow(census_answer, ANSWER).groupBy("block").applyInArrow(census_sum, "row long")
 
 
 def prefix_batches(words: int, seed: int, similarity: float, share: float):
@@ -228,11 +246,24 @@ def mixed_batches(batches: Iterator) -> Iterator:
     """Rows (token, lot, lots, n, row, root) sorted by token and lot: those of buckets with more than one root. A lot of several can't tell."""
     import pyarrow as pa
 
-    names = ["lots", "n", "row", "root"]
-    for (token, lot), (lots, n, row, root) in runs(batches, ("token", "lot"), tuple(names)):
-        roots = root.to_numpy()
-        if lots[0].as_py() > 1 or (roots != roots[0]).any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), token)), pa.array(np.full(len(row), lot, np.int32)), lots, n, row, root], names=["token", "lot", *names])
+    def mixed(batch, edges):
+        root, lots = batch.column("root").to_numpy(), batch.column("lots").to_numpy()
+        kept = (np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1])) | (lots[edges[:-1]] > 1)
+        return batch.filter(pa.array(np.repeat(kept, np.diff(edges))))
+
+    held = None  # the last bucket so far, which may go on
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
+        if not batch.num_rows:
+            continue
+        token, lot = batch.column("token").to_numpy(), batch.column("lot").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(lot) != 0)) + 1, [len(token)]])
+        held = batch.slice(int(edges[-2]))
+        if len(edges) > 2:
+            yield mixed(batch.slice(0, int(edges[-2])), edges[:-1])
+    if held is not None:
+        yield mixed(held, np.array([0, held.num_rows]))
 
 
 def pair_batches(similarity: float, step: int):
