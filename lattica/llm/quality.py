@@ -10,8 +10,9 @@ hash of doc_id), whatever the input; scoring covers every row and needs no shuff
 
 Defined cases: null text is empty and gets the score of an empty text; labels without doc_id or
 quality are left out; of conflicting labels of a document the least counts; without labels of both
-classes every score is the share of label 1 (1.0 without any); other columns pass through; an empty
-table gives an empty result.
+classes every score is the share of label 1 (1.0 without any); texts are read whole, however long;
+equal texts get equal scores, and a score of exactly `least` is accepted; other columns pass through
+inside `__doc` (accepted: as they are), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ choice of blocks, of the bits that the first left open; 48 bits are then fixed,
 
 Defined cases: null text is empty; without words the fingerprint is zero and links like any other;
 rows without doc_id keep their class (the smallest doc_id in it, null if there is none); repeated rows
-share class and fingerprint; an empty table gives an empty result; very long texts are read whole.
+share class and fingerprint; of rows that tie in doc_id the first as written stays; other columns pass
+through, whatever their names; an empty table gives an empty result; very long texts are read whole.
 """
 
 from __future__ import annotations
