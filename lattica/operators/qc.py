@@ -31,6 +31,11 @@ def drop_empty_samples(long: DataFrame, sample: str = "sample_idx", value: str =
     return long.join(some, sample, "left_semi")
 
 
+def annotated(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of labels that have the same keys, null where there are none. Keys must be unique in labels."""
+    return rows.join(labels, keys, "left")
+
+
 def keep(long: DataFrame, ids: DataFrame, on: str = "sample_idx") -> DataFrame:
     return long.join(ids.select(on), on, "left_semi")
 

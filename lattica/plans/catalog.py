@@ -328,6 +328,23 @@ def _top_loadings(spark, d):
     return pca_op.top_loadings(fit(spark, d).loadings, 5).select("dim", F.col("rank").cast("long").alias("rank"), "var_idx", r("loading").alias("loading"))
 
 
+@query("annotate_loadings", f"{EIGEN}, {fx.VARIANTS}, a as ({UNION('select j var_idx, {d} dim, c from e{d}')}) select dim, rank, var_id, chrom, bp, round(c, 6) + 0.0 loading from (select *, row_number() over (partition by dim order by abs(c) desc, var_idx) rank from a) join variants using (var_idx) where rank <= 3")
+def _annotate_loadings(spark, d):
+    """The largest loadings with their variants' ids and places."""
+    top = pca_op.top_loadings(fit(spark, d).loadings, 3)
+    got = qc.annotated(top, fx.variants(spark).select("var_idx", "var_id", "chrom", "bp"), ["var_idx"])
+    return got.select("dim", F.col("rank").cast("long").alias("rank"), "var_id", "chrom", "bp", r("loading").alias("loading"))
+
+
+@query("label_components", f"{EIGEN}, p as (select sample_idx, sum(z*c) / sqrt(40) pc from z join e1 on var_idx = j group by 1) select r_name as population, count(*) n, round(avg(pc), 5) + 0.0 mean from p join customer on c_custkey = sample_idx join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1")
+def _label_components(spark, d):
+    """First component by population of the samples."""
+    c, n, g = (fx.table(spark, d, t) for t in ("customer", "nation", "region"))
+    labels = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(g, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_custkey").cast("long").alias("sample_idx"), F.col("r_name").alias("population"))
+    got = qc.annotated(fit(spark, d).projection.select("sample_idx", F.col("values")[0].alias("pc")), labels, ["sample_idx"])
+    return got.groupBy("population").agg(F.count("*").alias("n"), r(F.avg("pc"), 5).alias("mean"))
+
+
 # --- check and project -------------------------------------------------------------------------------------
 
 CLAIM = "select sample_idx, ((sample_idx % 11) - 5) / 50.0::double a, ((sample_idx % 13) - 6) / 50.0::double b from (select distinct sample_idx from geno)"

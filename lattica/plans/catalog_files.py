@@ -71,6 +71,13 @@ def _genotypes(spark, d):
     return rows.select("var_idx", F.posexplode("dosages").alias("at", "x")).select(F.col("at").cast("long").alias("sample_idx"), "var_idx", F.col("x").cast("double").alias("value"))
 
 
+@query("file_codes", f"with {fx.GENO} select sample_idx, var_idx, cast(case when value is null then 1 when value = 2 then 0 when value = 1 then 2 else 3 end as integer) code from geno")
+def _codes(spark, d):
+    """The 2-bit codes as they are packed."""
+    rows = plink.read_bed(spark, f"{fileset(spark, d)}.bed", fx.samples(spark, d), raw=True)
+    return rows.select("var_idx", F.posexplode("codes").alias("at", "x")).select(F.col("at").cast("long").alias("sample_idx"), "var_idx", F.col("x").cast("int").alias("code"))
+
+
 @query("file_genotypes_imputed", SQL["impute_mean"])
 def _genotypes_imputed(spark, d):
     prefix = fileset(spark, d)

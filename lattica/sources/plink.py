@@ -33,11 +33,15 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def codes_of(packed: np.ndarray, n: int) -> np.ndarray:
+    """Rows of packed bytes to rows of n 2-bit codes, the lowest bits of a byte first."""
+    codes = (packed[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+    return codes.reshape(len(packed), -1)[:, :n].astype(np.int8)
+
+
 def decode(packed: np.ndarray, n: int) -> np.ndarray:
     """Rows of packed bytes to rows of n dosages; -1 is missing."""
-    table = np.array([-1 if d is None else d for d in DOSAGE], np.int8)
-    codes = (packed[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
-    return table[codes.reshape(len(packed), -1)[:, :n]]
+    return np.array([-1 if d is None else d for d in DOSAGE], np.int8)[codes_of(packed, n)]
 
 
 def encode(dosages: np.ndarray) -> np.ndarray:
@@ -55,8 +59,8 @@ class Range(InputPartition):
 
 
 class BedReader(DataSourceReader):
-    def __init__(self, path: str, n: int):
-        self.path, self.n = path, n
+    def __init__(self, path: str, n: int, raw: bool = False):
+        self.path, self.n, self.raw = path, n, raw
         self.each = -(-n // 4)
         with open_file(path) as f:
             if f.read(3) != MAGIC:
@@ -78,24 +82,27 @@ class BedReader(DataSourceReader):
             f.seek(3 + self.each * partition.start)
             for at in range(partition.start, partition.stop, step):
                 rows = min(step, partition.stop - at)
-                got = decode(np.frombuffer(f.read(rows * self.each), np.uint8).reshape(rows, self.each), self.n)
+                got = (codes_of if self.raw else decode)(np.frombuffer(f.read(rows * self.each), np.uint8).reshape(rows, self.each), self.n)
                 flat = got.reshape(-1)
                 values = pa.array(flat, pa.int8(), mask=flat < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + rows)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * self.n, pa.int32()), values)], names=["var_idx", "dosages"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + rows)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * self.n, pa.int32()), values)], names=["var_idx", "codes" if self.raw else "dosages"])
 
 
 class BedSource(DataSource):
-    """Options: path, samples (their number)."""
+    """Options: path, samples (their number), raw (codes instead of dosages)."""
+
+    def raw(self) -> bool:
+        return self.options.get("raw", "false").lower() == "true"
 
     @classmethod
     def name(cls) -> str:
         return "packed_genotypes"
 
     def schema(self) -> str:
-        return "var_idx long, dosages array<tinyint>"
+        return f"var_idx long, {'codes' if self.raw() else 'dosages'} array<tinyint>"
 
     def reader(self, schema) -> DataSourceReader:
-        return BedReader(self.options["path"], int(self.options["samples"]))
+        return BedReader(self.options["path"], int(self.options["samples"]), self.raw())
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
@@ -119,10 +126,10 @@ def paths(prefix: str | None = None, bed: str | None = None, bim: str | None = N
     return got
 
 
-def read_bed(spark: SparkSession, path: str, samples: int) -> DataFrame:
-    """var_idx, dosages (null: missing)."""
+def read_bed(spark: SparkSession, path: str, samples: int, raw: bool = False) -> DataFrame:
+    """var_idx, dosages (null: missing); raw: var_idx, codes (0 to 3) as they are packed."""
     spark.dataSource.register(BedSource)
-    return spark.read.format("packed_genotypes").option("path", path).option("samples", samples).load()
+    return spark.read.format("packed_genotypes").option("path", path).option("samples", samples).option("raw", raw).load()
 
 
 def read_plink(spark: SparkSession, prefix: str | None = None, bed: str | None = None, bim: str | None = None, fam: str | None = None) -> Matrix:
