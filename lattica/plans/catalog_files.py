@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import pca as pca_op
 from ..operators import project as project_op
+from ..operators import scca as scca_op
 from ..sources import plink, text
 from ..streaming.project import project_stream
 from . import fixtures as fx
 from .catalog import K, PROJECT, SQL, cells, fixed_loadings, query, r, saved_scale
+from .matrix import from_arrays
 
 #: Folders of this process by session and table folder, so that a fixture is written once.
 WRITTEN: dict[tuple[str, str], str] = {}
@@ -129,6 +131,16 @@ def _file_project(spark, d):
     return got.select("sample_idx", r(F.col("values")[0]).alias("pc"))
 
 
+@query("file_scca", SQL["scca_penalised"])
+def _file_scca(spark, d):
+    """Genotypes and phenotypes out of files; X stays by variable, as it is read."""
+    prefix = fileset(spark, d)
+    x = plink.read_plink(spark, prefix)
+    y = from_arrays(text.read_pheno(spark, f"{prefix}.pheno").select("sample_idx", F.slice("y", 1, 2).alias("y")), "sample_idx", "y", width=2, count=x.n)
+    got = scca_op.scca(x, y, 0.05, 0.02, 1, v0=np.array([[1.0], [0.0]]), tol=1e-10)
+    return got.weights().select("side", "var_idx", r("weight").alias("weight"), F.lit(round(float(got.d[0]), 6)).alias("d"))
+
+
 @query("file_saved_table", "select 'f'||c_custkey fid, 'i'||c_custkey iid, c_acctbal::double value from customer")
 def _saved_table(spark, d):
     """Written as text and read again."""
