@@ -14,10 +14,11 @@ ranges before and after it are queued with truncated Gumbels of their own. The f
 distinct segmentations without replacement; the next value on the queue is the threshold kappa, from
 which the inclusion score of each is 1 - exp(-exp(log p - kappa)).
 
-Spaces become the piece set's mark and no piece has a mark after another character, so a text's lattice
-is a chain of lattices of words. A worker keeps those for later batches until they have `KEPT` nodes,
-then begins anew; a word's numbers don't depend on what is kept beside it. All walks of a batch are
-drawn together.
+Spaces become the piece set's mark. Where two characters stand side by side in no piece, no edge crosses,
+so a text's lattice is a chain of lattices of words: stretches between such places, as a mark with its
+letters, or a comma. A worker keeps those for later batches until they have `KEPT` nodes;
+then those stay that a batch after their own asked for, as long as they have half of that. A word's
+numbers don't depend on what is kept beside it. All walks of a batch are drawn together.
 
 Every random number is a hash of the row's key, `seed`, and its place in the search.
 
@@ -34,8 +35,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
+from itertools import compress
 from math import exp, log
 
 import numpy as np
@@ -49,9 +50,13 @@ MARK = "▁"
 K, THETA = 3, 0.002
 #: Texts that are walked together: so many, and so many characters unless one text has more.
 BATCH, CHARACTERS = 64, 250_000
-#: Nodes of kept lattices (about 80 bytes each with their edges) beyond which a worker begins anew.
+#: Nodes of kept lattices (about 80 bytes each with their edges) beyond which a worker drops words.
 KEPT = 500_000
 
+#: Log of a share beyond which the share that is left is summed from the other edges.
+NEARLY = -1e-4
+#: Kinds of characters that are told apart where texts are split.
+KINDS = 2047
 
 #: What draws and places add to a state, and the shifts and factors that mix it (fixed values of a public generator).
 DRAW, PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -106,7 +111,15 @@ class Pieces:
             self.ids = {p: (i, theta * s) for i, (p, s) in enumerate(scores.items())}
         self.unknown = theta * low
         self.ascii = np.array([self.bytes[b] for b in range(128)], np.int64)
-        self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
+        # Which characters stand side by side in a piece, by kinds of characters: 0 for those in no such pair. Kinds that
+        # many characters share only make stretches longer.
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        codes = np.array(sorted({ord(c) for x in pairs for c in x}), np.int64)
+        self.kind, self.kinds = np.zeros(0x110000, np.int32), min(len(codes), KINDS) + 1
+        self.kind[codes] = 1 + np.arange(len(codes)) % KINDS
+        self.beside = np.zeros(self.kinds**2, bool)
+        for a, b in pairs:
+            self.beside[self.kind[ord(a)] * self.kinds + self.kind[ord(b)]] = True
         nodes: dict[tuple[int, str], int] = {}
         piece, weight = [-1], [0.0]
         for p, (i, w) in self.ids.items():
@@ -136,17 +149,18 @@ class Pieces:
     def normal(self, text: str) -> str:
         return self.model.normalize(text) if self.model else text.replace(" ", MARK)
 
-    def split(self, text: str) -> list[str | tuple[str]]:
-        """Stretches that no piece crosses: each starts with its marks. One that starts with a mark is named without it, another as a tuple."""
-        if self.crossing:
-            return [(text,)] if text else []
-        if text.startswith(MARK) and MARK * 2 not in text and not text.endswith(MARK):
-            return text[1:].split(MARK)
-        return [w[1:] if w[0] == MARK else (w,) for w in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)]
+    def split(self, text: str) -> list[str]:
+        """Stretches that no piece crosses."""
+        if not text:
+            return []
+        kind = self.kind.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+        cut = (~self.beside.take(kind[:-1] * self.kinds + kind[1:])).nonzero()[0] + 1
+        cut = cut.tolist()
+        return [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie's next nodes, -1 where there is none."""
-        out = self.near[self.row[node].astype(np.int64) << 7 | code & 127].astype(np.int64)
+        out = self.near.take(self.row.take(node).astype(np.int64) << 7 | code & 127).astype(np.int64)
         far = (code > 127).nonzero()[0]
         if len(far):
             key = node[far] << 21 | code[far]
@@ -158,9 +172,11 @@ class Pieces:
 class Lattice:
     """Lattices of words side by side: a node for each character, its edges in a row; edges that end a word lead to -1.
 
-    piece, follow, logp, rest (log of the share of a node's other edges) and upto (shares summed up to an edge) are by edge."""
+    By edge: piece; turn, of shares summed up to an edge and the node it leads to; logs, of its share and of its node's other
+    edges. Pairs are complex, as one look into memory finds both. again, at a word's first node, tells whether a batch after
+    its own asked for it."""
 
-    KINDS = {"first": np.int64, "count": np.int32, "piece": np.int32, "follow": np.int64, "logp": float, "rest": float, "upto": float}
+    KINDS = {"first": np.int64, "count": np.int32, "again": bool, "piece": np.int32, "turn": complex, "logs": complex}
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -169,45 +185,69 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.root: dict[str | tuple[str], int] = {}
+        self.root: dict[str, int] = {}
         self.nodes = self.edges = 0
 
-    def append(self, name: str, at: int, values: np.ndarray) -> None:
-        """Puts values at the end of an array, which grows by doubling."""
+    def thin(self, most: int) -> None:
+        """Drops the words that no batch after their own has asked for; all, if the others have more than so many nodes."""
+        words, start = list(self.root), np.fromiter(self.root.values(), np.int64, len(self.root))
+        stay = self.again.take(start)
+        nodes = np.repeat(stay, np.diff(start, append=self.nodes)).nonzero()[0]
+        if not 0 < len(nodes) <= most:
+            self.clear()
+            return
+        count = self.count[: self.nodes]
+        place = np.full(self.nodes + 1, -1)  # the last for edges that end a word
+        place[nodes] = np.arange(len(nodes))
+        held = np.repeat(place[:-1] >= 0, count).nonzero()[0]
+        for name in ("piece", "turn", "logs"):
+            own = getattr(self, name)
+            own[: len(held)] = own.take(held)
+        self.turn.imag[: len(held)] = place.take(self.turn.imag[: len(held)].astype(np.int64), mode="wrap")
+        self.count[: len(nodes)] = count = count.take(nodes)
+        self.first[: len(nodes)] = np.cumsum(count) - count
+        self.again[: len(nodes)] = False
+        self.root = dict(zip(compress(words, stay.tolist()), place.take(start[stay]).tolist(), strict=True))
+        self.nodes, self.edges = len(nodes), len(held)
+
+    def room(self, name: str, at: int, size: int) -> np.ndarray:
+        """So many places from `at` on of an array, which grows by doubling."""
         own = getattr(self, name)
-        if at + len(values) > len(own):
-            wider = np.empty(max(2 * len(own), at + len(values)), own.dtype)
+        if at + size > len(own):
+            wider = np.empty(max(2 * len(own), at + size), own.dtype)
             wider[:at] = own[:at]
             setattr(self, name, wider)
             own = wider
-        own[at : at + len(values)] = values
+        return own[at : at + size]
 
-    def learn(self, words: set[str | tuple[str]]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Adds the lattices of words it doesn't have."""
         new = list(words.difference(self.root))
         if not new:
             return
-        pieces, whole = self.pieces, [MARK + w if isinstance(w, str) else w[0] for w in new]
-        length = np.fromiter(map(len, whole), np.int64, len(new))
+        pieces = self.pieces
+        length = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(length)
         self.root.update(zip(new, (self.nodes + ends - length).tolist(), strict=True))
-        code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n = len(code)
         left = np.repeat(ends, length) - np.arange(n)  # characters to the end of the word
-        at, node = np.arange(n), pieces.first[code].astype(np.int64)
-        lone = (node < 0) | (pieces.piece[node] < 0)  # no piece of this character alone: bytes
+        at, node = np.arange(n), pieces.first.take(code).astype(np.int64)
+        lone = (node < 0) | (pieces.piece.take(node, mode="wrap") < 0)  # no piece of this character alone: bytes
         alone = lone.nonzero()[0]
         # Of each size the nodes that have such an edge, in order, with its piece and weight.
-        found = [(alone, 1, -1 - code[alone], np.full(len(alone), pieces.unknown))]
-        alive = node >= 0
-        at, node, depth = at[alive], node[alive], 1
+        found = [(alone, 1, -1 - code.take(alone), np.full(len(alone), pieces.unknown))]
+        on = (node >= 0).nonzero()[0]
+        at, node, depth = at.take(on), node.take(on), 1
         while len(at):
-            hit = pieces.piece[node] >= 0
-            found.append((at[hit], depth, pieces.piece[node[hit]], pieces.weight[node[hit]]))
-            on = left[at] > depth
-            at, node = at[on], node[on]
-            node = pieces.step(node, code[at + depth])
-            at, node = at[node >= 0], node[node >= 0]
+            own = pieces.piece.take(node)
+            hit = (own >= 0).nonzero()[0]
+            found.append((at.take(hit), depth, own.take(hit), pieces.weight.take(node.take(hit))))
+            on = (left.take(at) > depth).nonzero()[0]
+            at = at.take(on)
+            node = pieces.step(node.take(on), code.take(at + depth))
+            on = (node >= 0).nonzero()[0]
+            at, node = at.take(on), node.take(on)
             depth += 1
         count = np.zeros(n, np.int64)
         for src, *_ in found:
@@ -216,26 +256,27 @@ class Lattice:
         m, free = int(count.sum()), first.copy()
         size, piece, weight = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
         for src, depth, own, w in found:
-            place = free[src]
+            place = free.take(src)
             size[place], piece[place], weight[place] = depth, own, w
-            free[src] += 1
-        src = np.repeat(np.arange(n), count)
+            free[src] = place + 1
         # Backward sums, all words together: nodes in the order of their distance from the end.
-        distance = left[src]
-        order = np.argsort(distance.astype(np.uint16) if len(left) and left.max() < 65_536 else distance, kind="stable")
-        ends_here = size == distance
-        follow = np.where(ends_here, n, src + size)
+        follow = np.repeat(np.arange(n), count)
+        follow += size
+        follow[size == np.repeat(left, count)] = n
+        turn = np.argsort(left.astype(np.uint16) if left.max() < 65_536 else left, kind="stable")
+        each = count.take(turn)
+        heads = np.cumsum(each) - each
+        order = np.repeat(first.take(turn) - heads, each) + np.arange(m)
+        upto = np.cumsum(np.bincount(left))
+        cuts = np.append(heads, m).take(upto).tolist()
         back = np.zeros(n + 1)
-        value, by, to = weight[order], src[order], follow[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance[order])) + 1, [m]])
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(by)) + 1])
-        upto = np.searchsorted(heads, cuts).tolist()
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            value[a:b] += back[to[a:b]]
-            own = heads[upto[i] : upto[i + 1]]
-            back[by[own]] = np.logaddexp.reduceat(value[a:b], own - a)
+        value, to, upto = weight.take(order), follow.take(order), upto.tolist()
+        for a, b, p, q in zip(cuts[:-1], cuts[1:], upto[:-1], upto[1:], strict=True):
+            own = value[a:b]
+            own += back.take(to[a:b])
+            back[turn[p:q]] = np.logaddexp.reduceat(own, heads[p:q] - a)
         logp = np.empty(m)
-        logp[order] = np.minimum(value - back[by], 0.0)
+        logp[order] = np.minimum(value - np.repeat(back.take(turn), each), 0.0)
         share = np.exp(logp)
         # Shares are summed within a node, so that they don't depend on the words beside it.
         edge, rank = first[count > 1], 1
@@ -247,40 +288,58 @@ class Lattice:
         share[first + count - 1] = np.inf
         with np.errstate(divide="ignore"):
             rest = np.log(-np.expm1(logp))
-        for name, values in (("piece", piece), ("follow", np.where(ends_here, -1, follow + self.nodes)), ("logp", logp), ("rest", rest), ("upto", share)):
-            self.append(name, self.edges, values)
-        for name, values in (("first", first + self.edges), ("count", count)):
-            self.append(name, self.nodes, values)
+        # Where an edge has nearly all, one minus its share says too little: the others are summed.
+        large = (logp > NEARLY).nonzero()[0]
+        of = np.searchsorted(first, large, side="right") - 1
+        large, of = large[count[of] > 1], of[count[of] > 1]
+        if len(large):
+            each = count.take(of)
+            heads = np.cumsum(each) - each
+            other = logp.take(np.repeat(first.take(of) - heads, each) + np.arange(int(each.sum())))
+            other[heads + large - first.take(of)] = -np.inf
+            rest[large] = np.logaddexp.reduceat(other, heads)
+        turn, logs = self.room("turn", self.edges, m), self.room("logs", self.edges, m)
+        turn.real, turn.imag = share, np.where(follow == n, -1, follow + self.nodes)
+        logs.real, logs.imag = logp, rest
+        self.room("piece", self.edges, m)[:] = piece
+        self.room("first", self.nodes, n)[:] = first + self.edges
+        self.room("count", self.nodes, n)[:] = count
+        self.room("again", self.nodes, n)[:] = False
         self.nodes, self.edges = self.nodes + n, self.edges + m
 
     def walk(self, roots: np.ndarray, seeds: np.ndarray, sample: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a path drawn through each word, in order, and the number of each word's edges."""
-        base = seeds + np.uint64(draw_of(sample, 1) * DRAW & ALL_BITS) + word.astype(np.uint64) * np.uint64(PLACE)
+        state = seeds + np.uint64(draw_of(sample, 1) * DRAW & ALL_BITS) + word.astype(np.uint64) * np.uint64(PLACE)
         passes, at, mine = [], roots, np.arange(len(roots))
         while len(at):
-            u = uniforms(base[mine])
-            edge = self.first[at]
+            u = uniforms(state)
+            edge = self.first.take(at)
+            turn = self.turn.take(edge)
             # Edges of a node are few; each pass moves those whose share isn't reached yet.
-            more = (u >= self.upto[edge]).nonzero()[0]
+            more = (u >= turn.real).nonzero()[0]
+            to, u = edge.take(more), u.take(more)
             while len(more):
-                edge[more] += 1
-                more = more[u[more] >= self.upto[edge[more]]]
+                to += 1
+                edge[more] = to
+                turn[more] = now = self.turn.take(to)
+                on = (u >= now.real).nonzero()[0]
+                more, to, u = more.take(on), to.take(on), u.take(on)
             passes.append((edge, mine))
-            at = self.follow[edge]
-            on = at >= 0
-            at, mine = at[on], mine[on]
-            base += np.uint64(DRAW)
+            at = turn.imag.astype(np.int64)
+            on = (at >= 0).nonzero()[0]
+            at, mine, state = at.take(on), mine.take(on), state.take(on)
+            state += np.uint64(DRAW)
         size = np.zeros(len(roots), np.int64)
-        for _, mine in passes:
-            size[mine] += 1
+        for i, (_, mine) in enumerate(passes):
+            size[mine] = i + 1
         place = np.cumsum(size) - size
         out = np.empty(int(size.sum()), np.int64)
         for i, (edge, mine) in enumerate(passes):
-            out[place[mine] + i] = edge
+            out[place.take(mine) + i] = edge
         return out, size
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        got = self.piece[edges].astype(np.int64)
+        got = self.piece.take(edges).astype(np.int64)
         bare = (got < 0).nonzero()[0]
         if not len(bare):
             return got.astype(np.uint32)
@@ -316,7 +375,8 @@ class Search:
         self.lattice, self.roots, self.k = lattice, roots, k
         self.seed = seed
         self.queue, self.found, self.turn = [], [], 0
-        self.prefix = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.prefix = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        self.turned: list[tuple[int, int]] = []
         self.value = -log(-log(self.draw(0, 0)))
 
     def draw(self, sample: int, tag: int) -> float:
@@ -331,23 +391,25 @@ class Search:
         """Takes the best node of the queue; where the rest of its path has to be drawn: nodes and their words."""
         sample, lat = len(self.found), self.lattice
         value, _, which, at, stop, taken = heapq.heappop(self.queue)
-        path, _, _, word, mass = self.found[which]
+        path, _, _, word, mass, reached = self.found[which]
         if not taken:
             start = at
             top = float(mass[start:stop].max())
-            upto = np.cumsum(np.exp(mass[start:stop] - top))
+            share = np.exp(mass[start:stop] - top)
+            upto = np.cumsum(share)
             at += min(int(np.searchsorted(upto, upto[-1] * self.draw(sample, 4), side="right")), stop - start - 1)
             while mass[at] == -np.inf:
                 at -= 1
             before = float(upto[at - start - 1]) if at > start else 0.0
             self.push(top + log(before) if before else -np.inf, -value, 5, which, start, at, frozenset())
-            self.push(total(mass[at + 1 : stop]), -value, 6, which, at + 1, stop, frozenset())
+            after = float(share[at + 1 - start :].sum())
+            self.push(top + log(after) if after > 1e-290 else total(mass[at + 1 : stop]), -value, 6, which, at + 1, stop, frozenset())
             taken = frozenset([int(path[at])])
         new_word = at == 0 or word[at] != word[at - 1]
-        node = int(self.roots[word[at]] if new_word else lat.follow[path[at - 1]])
+        node = int(self.roots[word[at]] if new_word else lat.turn.imag[path[at - 1]])
         first = int(lat.first[node])
         left = [e for e in range(first, first + int(lat.count[node])) if e not in taken]
-        logp = lat.logp[left].tolist()
+        logp = lat.logs[left].real.tolist()
         top = max(logp)
         share = [exp(x - top) for x in logp]
         edge, left_of = 0, self.draw(sample, 2) * sum(share)
@@ -355,22 +417,34 @@ class Search:
             left_of -= share[edge]
             edge += 1
         if len(left) > 1 and (other := sum(share[:edge]) + sum(share[edge + 1 :])):
-            self.push(float(mass[at] - lat.rest[path[at]]) + top + log(other), -value, 3, which, at, at + 1, taken | {left[edge]})
+            self.push(float(mass[at] - lat.logs.imag[path[at]]) + top + log(other), -value, 3, which, at, at + 1, taken | {left[edge]})
         edge = left[edge]
-        own, on = int(word[at]), lat.follow[edge]
-        self.prefix = (np.append(path[:at], edge), np.append(word[:at], own))
+        own, on = int(word[at]), int(lat.turn.imag[edge])
+        self.prefix, self.turned = (path[:at], word[:at], mass[:at], reached[:at]), [(edge, own)]
         self.value = -value
         starts, words = self.roots[own + 1 :], np.arange(own + 1, len(self.roots))
         return (np.concatenate([[on], starts]), np.concatenate([[own], words])) if on >= 0 else (starts, words)
 
     def expand(self, edges: np.ndarray, words: np.ndarray) -> None:
-        """Takes the path of the prefix and these edges, and queues what leaves it on those edges."""
-        lat, n = self.lattice, len(self.prefix[0])
-        path, word = np.concatenate([self.prefix[0], edges]), np.concatenate([self.prefix[1], words])
-        reached, mass = np.cumsum(lat.logp[path]), lat.rest[path]
-        mass[1:] += reached[:-1]
-        self.found.append((path, float(reached[-1]) if len(path) else 0.0, self.value, word, mass))
-        self.push(total(mass[n:]), self.value, 7, len(self.found) - 1, n, len(path), frozenset())
+        """Takes the path of the prefix, the edge where it turned off and these edges, and queues what leaves it on these."""
+        lat, n = self.lattice, len(self.prefix[0]) + len(self.turned)
+        path, word, mass, reached = self.prefix
+        for edge, own in self.turned:
+            edges, words = np.concatenate([[edge], edges]), np.concatenate([[own], words])
+        # Sums go on from the prefix's last.
+        before = reached[-1:]
+        logs = lat.logs.take(edges)
+        upto = np.cumsum(np.concatenate([before, logs.real]))
+        rest = logs.imag.copy()
+        if len(before):
+            rest += upto[:-1]
+            upto = upto[1:]
+        else:
+            rest[1:] += upto[:-1]
+        if len(path):
+            edges, words, rest, upto = np.concatenate([path, edges]), np.concatenate([word, words]), np.concatenate([mass, rest]), np.concatenate([reached, upto])
+        self.found.append((edges, float(upto[-1]) if len(upto) else 0.0, self.value, words, rest, upto))
+        self.push(total(rest[n:]), self.value, 7, len(self.found) - 1, n, len(edges), frozenset())
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
         kappa = -self.queue[0][0] if self.queue else -np.inf
@@ -381,8 +455,9 @@ def sample_many(lattice: Lattice, texts: list[str], k: int, seeds: list[int]) ->
     """For each text up to k distinct segmentations: (ids, log p, perturbed log p, inclusion), by falling value."""
     pieces = lattice.pieces
     if lattice.nodes > KEPT:
-        lattice.clear()
+        lattice.thin(KEPT // 2)
     split = [pieces.split(pieces.normal(t)) if t else [] for t in texts]
+    known = lattice.nodes
     lattice.learn(set().union(*split))
     root = lattice.root.__getitem__
     searches = [Search(lattice, np.fromiter(map(root, words), np.int64, len(words)), k, seed) for words, seed in zip(split, seeds, strict=True)]
@@ -393,7 +468,10 @@ def sample_many(lattice: Lattice, texts: list[str], k: int, seeds: list[int]) ->
         sizes = [len(starts) for _, starts, _ in jobs]
         words = np.concatenate([w for _, _, w in jobs]).astype(np.int64)
         of = np.repeat(np.array([s.seed for s, _, _ in jobs], np.uint64), sizes)
-        edges, steps = lattice.walk(np.concatenate([x for _, x, _ in jobs]).astype(np.int64), of, sample, words)
+        starts = np.concatenate([x for _, x, _ in jobs]).astype(np.int64)
+        if not sample:
+            lattice.again[starts[starts < known]] = True
+        edges, steps = lattice.walk(starts, of, sample, words)
         bounds = np.concatenate([[0], np.cumsum(steps)])[np.cumsum([0, *sizes])].tolist()
         word = np.repeat(words, steps)
         for (s, _, _), a, b in zip(jobs, bounds[:-1], bounds[1:], strict=True):
@@ -428,10 +506,10 @@ def sample_batches(path: str, k: int, theta: float, seed: int):
     return run
 
 
-def sampled(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", k: int = K, theta: float = THETA, seed: int = 0) -> DataFrame:
-    """docs as a struct `__doc`, and `__samples`: ids (little-endian 32-bit), log p, perturbed value and inclusion score. No shuffle."""
+def sampled(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", k: int = K, theta: float = THETA, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns those in `keep`; all, if there is none) as a struct `__doc`, and `__samples`: ids (little-endian 32-bit), log p, perturbed value and inclusion score. No shuffle."""
     key = F.when(F.col(doc_id).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(doc_id).cast("string")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), key.alias("__key"), F.col(text).alias("__text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("__doc"), key.alias("__key"), F.col(text).alias("__text"))
     return packed.mapInArrow(sample_batches(model, k, theta, seed), T.StructType([packed.schema["__doc"], T.StructField("__samples", T._parse_datatype_string(SAMPLES))]))
 
 
@@ -450,19 +528,21 @@ class Decoder:
                 table.append(" \u2047 ".encode())
             else:
                 table.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
-        self.flat = np.frombuffer(b"".join(table), np.uint8)
-        self.size = np.fromiter(map(len, table), np.int64, len(table))
-        self.start = np.cumsum(self.size) - self.size
+        import pyarrow as pa
+
+        self.table = pa.array(table, pa.large_binary())
 
     def texts(self, coded: list[bytes]) -> list[str]:
         """The texts of little-endian 32-bit ids, all at once."""
-        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-        if len(ids) and ids.max() >= len(self.size):
+        import pyarrow as pa
+
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        if len(ids) and ids.max() >= len(self.table):
             raise ValueError(f"no piece has the id {ids.max()}")
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        whole = self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(int(size.sum()))].tobytes()
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) // 4 for x in coded)])].tolist()
+        _, ends, whole = self.table.take(pa.array(ids, pa.uint32())).buffers()
+        ends = np.frombuffer(ends, np.int64)
+        cuts = ends[np.cumsum([0, *(len(x) // 4 for x in coded)])].tolist() if len(ids) else [0] * (len(coded) + 1)
+        whole = whole.to_pybytes() if whole else b""
         return [whole[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -493,6 +573,6 @@ def op7_gumbel_top_k(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    got = sampled(docs, model).select("__doc.doc_id", F.posexplode("__samples").alias("rank", "s"))
+    got = sampled(docs, model, keep=["doc_id"]).select("__doc.doc_id", F.posexplode("__samples").alias("rank", "s"))
     got = got.select("doc_id", "rank", (F.octet_length("s.ids") / 4).cast("long").alias("pieces"), F.crc32("s.ids").alias("ids_crc32"), F.round("s.log_p", 6).alias("log_p"), F.round("s.value", 6).alias("value"), F.col("s.inclusion").alias("inclusion"), F.col("s.ids").alias("ids"))
     return decoded(got, model).withColumn("decoded_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")

@@ -143,6 +143,60 @@ def test_samples_do_not_depend_on_what_a_worker_keeps(monkeypatch, kept):
     assert [[(e.tolist(), lp, g, q) for e, lp, g, q in one] for one in got] == [[(e.tolist(), lp, g, q) for e, lp, g, q in one] for one in want]
 
 
+def test_segmentations_of_the_least_shares_come_out():
+    """A share below the spacing of floats beside 1 is no reason to lose a segmentation."""
+    scores = {"▁a": -1.0, "▁": -60.0, "a": -70.0, "b": -1.0, "▁b": -90.0}
+    pieces = sampling.Pieces(theta=1.0, scores=scores)
+    for text in ("▁a", "▁a▁a", "▁a▁b"):
+        every = segmentations(pieces, text)
+        (got,) = sampling.sample_many(sampling.Lattice(pieces), [text], 9, [5])
+        assert sorted(tuple(e.tolist()) for e, *_ in got) == sorted(s for s, _ in every)
+        z = np.logaddexp.reduce([w for _, w in every])
+        for e, lp, _, q in got:
+            assert q == 1 and abs(lp - (dict(every)[tuple(e.tolist())] - z)) < 1e-9
+
+
+def test_columns_to_keep(spark):
+    docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    whole, thin = (sampling.sampled(docs, PATH, keep=k).orderBy("__doc.doc_id").collect() for k in (None, ["doc_id"]))
+    assert [r["__doc"].asDict().keys() for r in thin] == [{"doc_id"}] * 2 and set(whole[0]["__doc"].asDict()) == set(docs.columns)
+    assert [r["__samples"] for r in whole] == [r["__samples"] for r in thin]
+
+
+@pytest.mark.parametrize("kinds", [2047, 3])
+def test_stretches_are_cut_where_no_piece_crosses(monkeypatch, kinds):
+    """A comma is no part of the word before it, so a worker knows both already; fewer kinds of characters only join stretches."""
+    monkeypatch.setattr(sampling, "KINDS", kinds)
+    pieces = sampling.Pieces(PATH)
+    inside = {p[i : i + 2] for p in pieces.ids for i in range(len(p) - 1)}
+    for text in ("some words, of a text.", "  ünd  中文 \U0001f600\nx,y", "\u2581", "a"):
+        whole = pieces.normal(text)
+        got = pieces.split(whole)
+        ends = np.cumsum([len(x) for x in got]).tolist()
+        assert "".join(got) == whole
+        cut, want = set(ends[:-1]), {i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in inside}
+        assert cut == want if kinds > 3 else cut <= want
+    assert pieces.split("") == []
+    if kinds > 3:
+        assert pieces.split(pieces.normal("words, words.")) == ["▁words", ",", "▁words", "."]
+
+
+def test_words_asked_for_again_stay(monkeypatch):
+    """A full worker drops the words of one batch only, and the numbers of those that stay are the same."""
+    monkeypatch.setattr(sampling, "KEPT", 60)
+    pieces = sampling.Pieces(PATH)
+    lattice, learnt, learn = sampling.Lattice(pieces), [], sampling.Lattice.learn
+    monkeypatch.setattr(sampling.Lattice, "learn", lambda self, words: learnt.append(words - self.root.keys()) or learn(self, words))
+    texts = ["often here once", "often here twice", "often rareness incomprehensibilities of unforeseeable circumstances", "often here again"]
+    got = [sampling.sample_many(lattice, [t], 3, [i])[0] for i, t in enumerate(texts)]
+    assert learnt[0] == {"▁often", "▁here", "▁once"} and learnt[3] == {"▁again"}
+    assert set(lattice.root) == {"▁often", "▁here", "▁again"} and lattice.nodes == sum(map(len, lattice.root))
+    assert lattice.edges == lattice.count[: lattice.nodes].sum()
+    for i, (t, one) in enumerate(zip(texts, got, strict=True)):
+        (want,) = sampling.sample_many(sampling.Lattice(pieces), [t], 3, [i])
+        assert [(e.tolist(), *x) for e, *x in one] == [(e.tolist(), *x) for e, *x in want]
+
+
 def test_query_has_distinct_samples(spark):
     got = sampling.op7_gumbel_top_k(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
