@@ -7,12 +7,14 @@
    owner's range; two that meet by chance can only keep a text in, never leave one out.)
 2. Fingerprints. Of the texts left, SimHash fingerprints few bits apart are linked by pigeonhole blocks.
 3. Prefixes. Two similar texts share one of the first n - ceil(similarity*n) + 1 shingles of each, in any
-   one order of all (prefix filter); rare shingles come first. Texts that share one form its bucket. Two
-   rounds of a candidate a row (the first of about its size; its neighbour of another component) let large
-   groups hang together before any pairs are made, the first as stars; then each bucket gives the pairs of rows that are in different components yet, less
-   those ruled out by size or parity sketch: bit b says whether an odd number of shingles fall on it, so
-   two sketches differ in no more bits than the sets do in shingles. A bucket above `LOT` rows is dealt
-   into lots, and each pair of lots is compared by itself.
+   one order of all (prefix filter); rare shingles come first. Texts that share one form its bucket. A
+   candidate a row (the first of about its size) lets large groups hang together as stars. Then buckets are
+   compared in rounds: of rows in different components yet, less those ruled out by size or parity sketch
+   (bit b says whether an odd number of shingles fall on it, so two sketches differ in no more bits than the
+   sets do in shingles), each row gives its nearest, so a round makes no more pairs than buckets have rows.
+   What is verified joins components, what is not is left out of the next round, and only buckets with pairs
+   to spare go on. When most of a round's pairs are not similar, little is left to join: the last round gives
+   every pair still open. A bucket above `LOT` rows is dealt into lots, and each pair of lots is compared by itself.
 
 All candidates, fingerprints included, are verified on the texts themselves.
 
@@ -35,6 +37,8 @@ SIMILARITY, BITS = 0.8, 1024
 SHARE, BLOCK, OWNER = 0.3, 1 << 20, 1 << 22
 #: Rows of a bucket in a lot, and those that are compared with others at a time.
 LOT, STEP = 1 << 14, 256
+#: Rounds, at most, in which a row of a bucket gives its nearest only; then all pairs that are still open.
+ROUNDS = 8
 #: Place of a shingle that its own task knows to be shared.
 KNOWN = 0xFFFFFFFF
 
@@ -266,15 +270,20 @@ def mixed_batches(batches: Iterator) -> Iterator:
         yield mixed(held, np.array([0, held.num_rows]))
 
 
-def pair_batches(similarity: float, step: int):
-    """Rows (token, a, b, lot, n, row, root, sketch), sorted by token, a, b and n, to pairs (a, b) of different roots that size and sketch allow.
+def pair_batches(similarity: float, step: int, every: bool):
+    """Rows (token, a, b, lot, n, row, root, sketch, ruled), sorted by token, a, b and n, to pairs (a, b) of different roots that size and sketch allow.
 
-    Where a and b differ, only rows of different lots are compared."""
+    Where a and b differ, only rows of different lots are compared. A row's `ruled` are those that it is known not to be similar to.
+    Unless `every`, a row gives its nearest by sketch only, at most a pair for each row; `open` is the token of a bucket that has more."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for (_, a, b), (lot, n, row, root, sketch) in runs(batches, ("token", "a", "b"), ("lot", "n", "row", "root", "sketch")):
+        def table(token, found, more):
+            pairs = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([*pairs, pa.array([token if more else None] * len(pairs[0]), pa.int64())], names=["a", "b", "open"])
+
+        for (token, a, b), (lot, n, row, root, sketch, ruled) in runs(batches, ("token", "a", "b"), ("lot", "n", "row", "root", "sketch", "ruled")):
             lot, n, row, root = lot.to_numpy(), n.to_numpy().astype(np.int64), row.to_numpy(), root.to_numpy()
             roots, of, counts = np.unique(root, return_inverse=True, return_counts=True)
             if len(roots) < 2:
@@ -283,26 +292,39 @@ def pair_batches(similarity: float, step: int):
             # Rows of the largest component are compared with the others only, not each with all.
             others = np.flatnonzero(of != counts.argmax())
             done = np.zeros(len(n), bool)
-            found, held = [], 0
+            found, held, more = [], 0, False
             for x in others:
                 from_, to = np.searchsorted(n, [similarity * n[x] - 1e-6, n[x] / similarity + 1e-6])
                 near = slice(int(from_), int(to))
                 fits = (root[near] != root[x]) & ~done[near]
                 if a != b:
                     fits &= lot[near] != lot[x]
+                if ruled[x].is_valid:
+                    fits &= ~np.isin(row[near], ruled[x].values.to_numpy())
                 done[x] = True
                 y = np.flatnonzero(fits) + near.start
+                least, best = math.inf, None
                 for i in range(0, len(y), step * 64):
                     z = y[i : i + step * 64]
-                    z = z[np.bitwise_count(sketch[z] ^ sketch[x]).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n[x] + n[z]) + 1e-6]
-                    if len(z):
-                        found.append((np.minimum(row[x], row[z]), np.maximum(row[x], row[z])))
-                        held += len(z)
+                    apart = np.bitwise_count(sketch[z] ^ sketch[x]).sum(axis=1)
+                    fits = apart <= (1 - similarity) / (1 + similarity) * (n[x] + n[z]) + 1e-6
+                    z, apart = z[fits], apart[fits] / (n[x] + n[z][fits])
+                    if not len(z):
+                        continue
+                    if not every:
+                        more |= len(z) > 1 or best is not None
+                        if apart.min() < least:
+                            least, best = apart.min(), z[[apart.argmin()]]
+                        continue
+                    found.append((np.minimum(row[x], row[z]), np.maximum(row[x], row[z])))
+                    held += len(z)
+                if best is not None:
+                    found.append((np.minimum(row[x], row[best]), np.maximum(row[x], row[best])))
                 if held > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                    yield table(token, found, False)
                     found, held = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                yield table(token, found, more)
 
     return run
 
@@ -351,17 +373,29 @@ def links(docs: DataFrame, components: Callable, fingerprint_links: Callable, wo
     alike = Window.partitionBy("token", "lot", F.floor(F.log(F.col("n") + 1) / math.log(1.1))).orderBy("row")
     leading = voted(met.select("row", F.first("row").over(alike).alias("other")).where("row <> other"))
     found = verified(possible(equal.union(close).union(leading).distinct()))
-    bucket = Window.partitionBy("token", "lot").orderBy("n", "row")
-    beside = with_roots(met, components(found)).select("row", "root", F.lag("row").over(bucket).alias("other"), F.lag("root").over(bucket).alias("its"))
-    found = staged(found.unionByName(verified(possible(voted(beside.where("its <> root")).distinct()))), "similar-found")
-
-    mixed = with_roots(met, components(found)).select("token", "lot", "lots", "n", "row", "root").repartition("token", "lot").sortWithinPartitions("token", "lot")
-    mixed = mixed.mapInArrow(mixed_batches, "token long, lot int, lots int, n int, row long, root long").join(known.select("row", "sketch"), "row")
-    facing = F.explode(F.expr("transform(sequence(0, lots - 1), i -> struct(least(i, lot) as a, greatest(i, lot) as b))"))
-    mixed = mixed.select("token", facing.alias("f"), "lot", "n", "row", "root", "sketch").select("token", "f.a", "f.b", "lot", "n", "row", "root", "sketch")
-    mixed = mixed.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n")
-    pairs = staged(mixed.mapInArrow(pair_batches(similarity, STEP), "a long, b long").distinct(), "similar-pairs")
-    return found.unionByName(verified(pairs))
+    ruled, every, turn = None, False, 0
+    while True:
+        nodes = staged(components(found), "similar-nodes")
+        mixed = with_roots(met, nodes).select("token", "lot", "lots", "n", "row", "root").repartition("token", "lot").sortWithinPartitions("token", "lot")
+        mixed = mixed.mapInArrow(mixed_batches, "token long, lot int, lots int, n int, row long, root long").join(known.select("row", "sketch"), "row")
+        mixed = mixed.join(ruled.groupBy("row").agg(F.collect_list("other").alias("ruled")), "row", "left") if ruled else mixed.withColumn("ruled", F.lit(None).cast("array<long>"))
+        facing = F.explode(F.expr("transform(sequence(0, lots - 1), i -> struct(least(i, lot) as a, greatest(i, lot) as b))"))
+        mixed = mixed.select("token", facing.alias("f"), "lot", "n", "row", "root", "sketch", "ruled").select("token", "f.a", "f.b", "lot", "n", "row", "root", "sketch", "ruled")
+        mixed = mixed.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n")
+        pairs = staged(mixed.mapInArrow(pair_batches(similarity, STEP, every), "a long, b long, open long"), "similar-pairs")
+        tried = staged(pairs.select("a", "b").distinct(), "similar-tried")
+        good = verified(tried)
+        # What hangs together by now, as stars, and what is new.
+        found = nodes.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(good)
+        left = few(pairs.where("open is not null").select(F.col("open").alias("token")).distinct(), "similar-open")
+        if every or left.isEmpty():
+            return found
+        met = staged(met.join(left, "token", "left_semi"), "similar-met")
+        apart = tried.join(good, ["a", "b"], "left_anti")
+        apart = staged(apart.select(F.col("a").alias("row"), F.col("b").alias("other")).union(apart.select("b", "a")), "similar-ruled")
+        ruled = ruled.unionByName(apart) if ruled else apart
+        turn += 1
+        every = turn == ROUNDS or 2 * good.count() < tried.count()
 
 
 def with_roots(met: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -99,3 +99,34 @@ def test_census_leaves_nothing_out(spark):
     kept = {r.row for r in similar.not_alone(docs, 5, 42, 0.8).collect()}
     grouped = {i for i in texts if sum(c == classes[i] for c in classes.values()) > 1}
     assert grouped <= kept and len(kept) < len(texts) / 2
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """One group, most of it linked only through a fifth of its texts, so that a leading text leaves most apart."""
+
+    def group(size):
+        rng, texts = random.Random(3), {}
+        for i in range(size):
+            words = [f"w{j}" for j in range(150)]
+            for j in rng.sample(range(5, 145), 2 if i < 0.8 * size else 1):
+                words[j] = f"x{i}_{j}"
+            texts[i] = " ".join(words)
+        return texts
+
+    def made(size):
+        counts, write = [], similar.staged
+
+        def counting(df, name, keep=False):
+            out = write(df, name, keep)
+            if name == "similar-pairs":
+                counts.append(out.count())
+            return out
+
+        texts = group(size)
+        with monkeypatch.context() as m:
+            m.setattr(similar, "staged", counting)
+            assert kept(spark, texts) == sorted(set(plain_classes(texts).values()))
+        return sum(counts)
+
+    few, many = made(50), made(400)
+    assert many < 16 * few  # eight times the texts: sixty-four times the pairs
